@@ -170,10 +170,11 @@ def free_grid(days: DataFrame, reservations: DataFrame, cfg: DataFrame, hours: D
                 & (F.col("day") <= F.date_add(local_date(as_of, F.col("tz")), F.col("days_ahead"))))
     times = F.filter(F.sequence("open_min", F.col("close_min") - 30, F.lit(30)),
                      lambda m: absolute_minute(F.col("day"), m) * 60 >= now)
-    grid = facts.where(open_day).select(
-        "venue_id", "day",
-        F.transform(times, lambda m: F.struct(m.alias("m"), (F.col("capacity") - peak_seated(
-            near_starts(F.col("profile"), m, F.col("slot_min")), m, F.col("slot_min"))).alias("seats"))).alias("slots"))
+    # the overlapping starts are laid out once per half-hour, so that the peak does not search the day again and again
+    laid_out = facts.where(open_day).select("venue_id", "day", "capacity", "slot_min", F.transform(times, lambda m: F.struct(
+        m.alias("m"), near_starts(F.col("profile"), m, F.col("slot_min")).alias("near"))).alias("times"))
+    grid = laid_out.select("venue_id", "day", F.transform("times", lambda t: F.struct(
+        t["m"].alias("m"), (F.col("capacity") - peak_seated(t["near"], t["m"], F.col("slot_min"))).alias("seats"))).alias("slots"))
     served = grid.select("venue_id", "slots", F.posexplode(F.array(
         F.col("day"), F.date_sub("day", 1), F.date_sub("day", 2))).alias("k", "day"))
     return served.groupBy("venue_id", "day").agg(*[
