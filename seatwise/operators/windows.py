@@ -2,37 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def rolling_counts(points: DataFrame, events: DataFrame, keys: list[str], horizon: int, out: str,
-                   point_epoch: str = "epoch", event_epoch: str = "epoch") -> DataFrame:
-    """For each distinct (keys, epoch) of ``points``: events of the same keys in the last ``horizon`` seconds.
+def rolling(points: DataFrame, events: DataFrame, keys: list[str], horizon: int, out: str, point_epoch: str, event_epoch: str,
+            per_second: Column, merge, nothing: Column) -> DataFrame:
+    """For each distinct (keys, epoch) of ``points``: events of the same keys in the last ``horizon`` seconds, aggregated.
 
-    An event counts when ``point - horizon < event <= point``. Events are first counted per key and second (map-side),
+    An event counts when ``point - horizon < event <= point``. Events are first aggregated per key and second (map-side),
     then laid into time buckets one horizon wide; an event serves its own bucket and the next. A window therefore sorts
     at most three rows per second of one bucket, never a whole key.
     """
     bucket = F.floor(F.col("epoch") / horizon)
     at = [F.col(k) for k in keys]
     counted = (
-        events.select(*at, F.col(event_epoch).alias("epoch")).where(F.col("epoch").isNotNull())
-        .groupBy(*keys, "epoch").agg(F.count("*").alias("n"))
+        events.withColumn("epoch", F.col(event_epoch)).where(F.col("epoch").isNotNull())
+        .groupBy(*keys, "epoch").agg(per_second.alias("n"))
         .select(*at, "epoch", "n", F.explode(F.array(bucket, bucket + 1)).alias("bucket"), F.lit(False).alias("is_point"))
     )
     asked = (
         points.select(*at, F.col(point_epoch).alias("epoch")).distinct()
-        .select(*at, "epoch", F.lit(0).cast("long").alias("n"), bucket.alias("bucket"), F.lit(True).alias("is_point"))
+        .select(*at, "epoch", nothing.alias("n"), bucket.alias("bucket"), F.lit(True).alias("is_point"))
     )
     trailing = Window.partitionBy(*keys, "bucket").orderBy("epoch").rangeBetween(-(horizon - 1), Window.currentRow)
     return (
         asked.unionByName(counted)
-        .withColumn(out, F.sum("n").over(trailing))
+        .withColumn(out, merge("n").over(trailing))
         .where("is_point")
         .select(*at, F.col("epoch").alias(point_epoch), out)
     )
 
 
+def rolling_counts(points: DataFrame, events: DataFrame, keys: list[str], horizon: int, out: str,
+                   point_epoch: str = "epoch", event_epoch: str = "epoch") -> DataFrame:
+    """Number of events in the last ``horizon`` seconds, see :func:`rolling`."""
+    return rolling(points, events, keys, horizon, out, point_epoch, event_epoch, F.count("*"), F.sum, F.lit(0).cast("long"))
+
+
+def with_rolling_latest(df: DataFrame, events: DataFrame, keys: list[str], horizon: int, id_col: str, out: str,
+                        point_epoch: str = "epoch", event_epoch: str = "epoch") -> DataFrame:
+    """``df`` plus the highest id among the events of the last ``horizon`` seconds; null when there is none."""
+    latest = rolling(df, events, keys, horizon, out, point_epoch, event_epoch, F.max(id_col), F.max, F.lit(None).cast("long"))
+    return df.join(latest, [*keys, point_epoch], "left")
+
+
 def with_rolling_count(df: DataFrame, events: DataFrame, keys: list[str], horizon: int, out: str,
                        point_epoch: str = "epoch", event_epoch: str = "epoch") -> DataFrame:
     """``df`` plus the trailing count of :func:`rolling_counts` (0 when a key is null)."""

@@ -1,6 +1,7 @@
 """Input views derived from the given tables.
 
-Each text runs unchanged in Spark and in DuckDB; ``{orders}`` and the like stand for the base tables. Every view reads its
+Each text runs in Spark and in DuckDB; ``{orders}`` and the like stand for the base tables and ``@EPOCH(x)`` for the whole
+seconds of a timestamp, the one thing the two spell differently. Every view reads its
 base table whole. ``AS_OF`` is the evaluation instant of everything dated 2026; it is 17:00 in Bangkok.
 """
 
@@ -110,8 +111,8 @@ SELECT o_orderkey * 2 + copy_no AS command_id, {_venue('o_custkey')} AS venue_id
 SELECT l_orderkey AS reservation_id, CASE WHEN l_linenumber = 7 THEN 'created' ELSE 'modified' END AS action,
  CAST(1792058400 - (l_partkey * 104729 + l_suppkey) % 100000 AS BIGINT) AS created_epoch FROM {lineitem}""",
     "cases": """
-SELECT event_id AS case_id, CAST((user_id - user_id % 10) / 10 AS BIGINT) AS session_key, ts AS created_at,
- CAST((user_id - user_id % 300) / 300 AS BIGINT) AS venue_id,
+SELECT event_id AS case_id, CAST((user_id - user_id % 10) / 10 AS BIGINT) AS session_key,
+ CAST((user_id - user_id % 300) / 300 AS BIGINT) AS venue_id, @EPOCH(ts) AS created_epoch,
  CASE event_type WHEN 'error' THEN 'urgent' ELSE 'normal' END AS urgency,
  CASE event_id % 7 WHEN 0 THEN 'complaint' WHEN 1 THEN 'adverse_event' WHEN 2 THEN 'severe_allergy' WHEN 3 THEN 'special_request'
   WHEN 4 THEN 'reservation_not_found' WHEN 5 THEN 'tool_failure' ELSE 'wants_human' END AS reason,
@@ -122,17 +123,18 @@ SELECT event_id AS case_id, CAST((user_id - user_id % 10) / 10 AS BIGINT) AS ses
  CASE event_id % 4 WHEN 0 THEN 'es' WHEN 1 THEN 'en' ELSE NULL END AS language,
  CASE WHEN event_id % 2 = 0 THEN 'web' ELSE 'telegram' END AS channel, concat('Please call back about visit ', CAST(event_id AS VARCHAR(20))) AS summary,
  CAST(event_id % 4 AS INTEGER) AS escalation_count,
- CASE WHEN event_id % 4 > 0 THEN ts + INTERVAL '30' MINUTE END AS last_escalated_at,
- CASE WHEN event_type = 'view' THEN ts + INTERVAL '1' MINUTE * (event_id % 61) END AS claimed_at,
+ CASE WHEN event_id % 4 > 0 THEN @EPOCH(ts) + 1800 END AS last_escalated_epoch,
+ CASE WHEN event_type = 'view' THEN @EPOCH(ts) + 60 * (event_id % 61) END AS claimed_epoch,
+ CASE WHEN event_type = 'view' THEN 'Staff ' END AS claimed_by_name,
  -100 - user_id % 3 AS staff_chat_id FROM {events}""",
     "case_events": """
-SELECT event_id AS seq, CAST((event_id - event_id % 5) / 5 AS BIGINT) AS case_id, ts,
+SELECT event_id AS seq, CAST((event_id - event_id % 5) / 5 AS BIGINT) AS case_id, @EPOCH(ts) AS epoch,
  CASE event_id % 5 WHEN 0 THEN 'created' WHEN 1 THEN CASE WHEN user_id % 4 = 0 THEN 'notify_failed' ELSE 'notified' END
   WHEN 2 THEN 'claimed' WHEN 3 THEN CASE WHEN value > 15 THEN 'resolved' ELSE 'claimed' END ELSE 'notified' END AS event,
  CASE WHEN event_id % 5 = 1 THEN user_id + 5000 END AS message_id
  FROM {events}""",
     "claim_clicks": """
-SELECT event_id * 2 + copy_no AS click_id, ts + INTERVAL '1' MINUTE * (5 + copy_no) AS clicked_at,
+SELECT event_id * 2 + copy_no AS click_id, @EPOCH(ts) + 300 + 60 * copy_no AS clicked_epoch,
  CASE WHEN event_id % 13 = 0 THEN 'snooze:1' WHEN event_id % 19 = 0 THEN 'claim:99999999' ELSE concat('claim:', CAST(event_id AS VARCHAR(20))) END AS data,
  CASE WHEN event_id % 3 = 0 THEN 'Ann' END AS first_name, CASE WHEN event_id % 6 = 0 THEN 'Lee' END AS last_name,
  CASE WHEN event_id % 3 = 1 THEN 'staff_one' END AS username, user_id AS staff_id,
@@ -147,7 +149,7 @@ SELECT event_id AS raw_id, CASE event_id % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'tele
  CASE WHEN event_id % 7 = 0 THEN NULL ELSE repeat(event_type, 25) END AS guest_name,
  CASE WHEN event_id % 11 = 0 THEN '' ELSE concat(' u', CAST(user_id AS VARCHAR(20))) END AS guest_contact,
  concat(' rsv-', lpad(CAST(event_id AS VARCHAR(20)), 20, '0')) AS confirmation_code,
- CASE event_id % 3 WHEN 0 THEN ' ES' WHEN 1 THEN '' ELSE 'english-united-kingdom' END AS language, ts FROM {events}""",
+ CASE event_id % 3 WHEN 0 THEN ' ES' WHEN 1 THEN '' ELSE 'english-united-kingdom' END AS language, ts, @EPOCH(ts) AS epoch FROM {events}""",
     "chat_messages": """
 SELECT conv_id * 100 + turn AS id, conv_id AS session_id, turn,
  CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' ELSE 'system' END AS type,
@@ -210,9 +212,9 @@ SELECT doc_id AS notice_id, concat('tenant-', source) AS tenant,
  CASE WHEN doc_id % 3 = 0 THEN '2026.2' ELSE '2026.1' END AS version,
  doc_id % 3 <> 1 AND NOT (lang = 'fr' AND n_chars % 2 = 1) AS is_active,
  CAST(1790000000 + (doc_id * 7919) % 1000003 AS BIGINT) AS effective_epoch, n_chars AS text_length FROM {documents}""",
-    "access_log": "SELECT event_id, user_id AS visitor, ts, CAST(value * 1000 AS BIGINT) AS body_bytes FROM {events}",
+    "access_log": "SELECT event_id, user_id AS visitor, @EPOCH(ts) AS epoch, CAST(value * 1000 AS BIGINT) AS body_bytes FROM {events}",
     "dependants": """
-SELECT o_custkey AS customer_id, 'reservations' AS source FROM {orders}
+SELECT o_custkey AS customer_id, 'reservations' AS source FROM {orders} WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'
  UNION ALL SELECT user_id AS customer_id, concat('events_', event_type) AS source FROM {events}""",
 }
 
@@ -230,13 +232,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named view as a DataFrame over the given parquet tables."""
-    text = VIEWS[name]
+    text = VIEWS[name].replace("@EPOCH(", "unix_timestamp(")
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in base_tables_of(text)})
 
 
 def duck(name: str) -> str:
     """The same view text for DuckDB, where the base tables are registered by name."""
-    text = VIEWS[name]
+    text = re.sub(r"@EPOCH\((\w+)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", VIEWS[name])
     return re.sub(r"\s+\n", "\n", text.format(**{t: t for t in base_tables_of(text)})).strip()
 
 
