@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seatwise.functions import lexicon
 from seatwise.functions.scalars import clip, epoch_ts, nullif_blank, within_hours
 from seatwise.operators.windows import with_rolling_latest
+from seatwise.session import spread
 
 DEDUP_SECONDS, LIMIT_SECONDS, LIMIT_CASES = 900, 3600, 3
 
@@ -84,7 +85,7 @@ def created_cases(requests: DataFrame, known: DataFrame | None = None) -> DataFr
             F.max("case_id").alias("case_id"), F.count("*").alias("seeds"),
             F.count_if(F.col("status").isin("open", "claimed")).alias("open_seeds"))
         rows = rows.unionByName(seeds.withColumn("turn", F.lit(0)))
-    ordered = rows.repartition("session_key").sortWithinPartitions("session_key", "epoch", "turn", "case_id")
+    ordered = spread(rows, "session_key").sortWithinPartitions("session_key", "epoch", "turn", "case_id")
     kinds = dict(requests.dtypes)
     return ordered.mapInPandas(
         _created_in_order, f"session_key {kinds['session_key']}, reason string, created_epoch long, case_id {kinds['case_id']}")

@@ -16,7 +16,7 @@ from seatwise.functions import lexicon
 from seatwise.functions.scalars import day_number, local_absolute_second, local_date, minutes_of, nullif_blank, phone_normalize
 from seatwise.operators import availability as av
 from seatwise.operators.guards import HOUR, change_counts, upcoming_per_identity, with_booking
-from seatwise.session import cut_lineage
+from seatwise.session import cut_lineage, spread
 
 
 def _first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -146,7 +146,7 @@ def admit_bookings(requests: DataFrame, reservations: DataFrame, customers: Data
         day_number(F.col("req_date")).alias("day_no"), F.transform("near", lambda b: b["m"]).alias("near_starts"),
         F.transform("near", lambda b: b["people"]).alias("near_people"))
     kinds = dict(requests.dtypes)
-    admitted = cut_lineage(walked.groupBy("venue_id").applyInPandas(
+    admitted = cut_lineage(spread(walked, "venue_id").groupBy("venue_id").applyInPandas(
         _admitted_in_order, f"venue_id {kinds['venue_id']}, request_epoch long, request_id {kinds['request_id']}, identity string"))
     # At most M rows per venue were admitted, so every request can be placed among them without a shuffle of its own.
     taken = admitted.groupBy("venue_id").agg(F.collect_list(F.struct("request_epoch", "request_id", "identity")).alias("taken"))
@@ -271,7 +271,7 @@ def apply_modifications(commands: DataFrame, reservations: DataFrame, customers:
         F.col("reservation_min").alias("minute"), "people")
     number = {c: F.lit(0).cast(t) for c, t in walked.dtypes if c not in starts.columns and t in ("int", "bigint", "boolean")}
     text = {c: F.lit(None).cast(t) for c, t in walked.dtypes if c not in starts.columns and t not in ("int", "bigint", "boolean")}
-    ordered = starts.withColumns({**number, **text}).select(*walked.columns).unionByName(walked).repartition("venue_id").sortWithinPartitions(
+    ordered = starts.withColumns({**number, **text}).select(*walked.columns).unionByName(walked).transform(spread, "venue_id").sortWithinPartitions(
         "venue_id", "kind", "command_epoch", "command_id")
     decided = ordered.mapInPandas(
         _changes_in_order, "command_id long, reservation_id long, status string, n_day_no int, n_min int, n_people long, n_zone string, "

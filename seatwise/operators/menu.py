@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seatwise.functions import lexicon
 from seatwise.functions.scalars import csv_param, diet_ok, html_escape, nullif_blank, pipe_list, price_label, slug
+from seatwise.session import spread
 
 _STRINGS = "array<string>"
 
@@ -76,18 +77,23 @@ def matching_items(filters: DataFrame, menu: DataFrame) -> DataFrame:
     def around(text):
         return F.concat(F.lit("%"), text, F.lit("%"))
 
-    found_words = F.forall("p_words", lambda w: F.like(F.col("haystack"), around(w)))
+    def wild(text):
+        return F.contains(text, F.lit("%")) | F.contains(text, F.lit("_")) | F.contains(text, F.lit("\\"))
+
+    # a plain word is looked for as it is; only one with a wildcard needs a pattern
+    found_words = F.forall("p_words", lambda w: F.when(wild(w), F.like(F.col("haystack"), around(w))).otherwise(F.contains("haystack", w)))
     searched = (
         ~F.arrays_overlap("allergens", "p_allergens") & ~F.arrays_overlap("contains", "p_contains")
         & diet_ok(F.col("p_diet"), F.col("i_diet"))
         & (F.col("p_service").isNull() | F.array_contains("i_service", F.col("p_service")))
         & (F.col("available_from").isNull() | (F.col("available_from") <= F.col("p_date")))
         & (F.col("available_to").isNull() | (F.col("available_to") >= F.col("p_date")))
-        & found_words)
-    named = F.ilike(F.col("name"), around(F.col("p_dish")))
+        & ((F.size("p_words") == 0) | found_words))
+    named = F.when(wild(F.col("p_dish")), F.ilike(F.col("name"), around(F.col("p_dish")))).otherwise(
+        F.contains(F.lower("name"), F.lower("p_dish")))
     wanted = F.when(F.col("lookup"), named).otherwise(searched)
     return (
-        filters.join(items, "venue_id")
+        spread(filters, *[f"f_{c}" for c in PARAMS]).join(items, "venue_id")
         .where((F.col("p_kind").isNull() | (F.col("i_kind") == F.col("p_kind"))) & wanted)
         .withColumn("allergen_conflicts", F.array_sort(F.array_intersect("allergens", "p_allergens")))
         .withColumn("contains_conflicts", F.array_sort(F.array_intersect("contains", "p_contains")))

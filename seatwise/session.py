@@ -32,6 +32,14 @@ def local_session(app: str = "seatwise", master: str = "local[8]", shuffle_parti
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed over all shuffle partitions, which AQE then leaves alone.
+
+    For steps whose work per row is out of proportion to its bytes: sized by bytes, they would be merged into a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder, so later uses neither recompute it nor depend on executors.
 

@@ -72,7 +72,7 @@ def test_admit_bookings_in_order(spark, seed, per_hour, per_phone, capacity):
             made += 1
         want[i] = status
     assert got == want
-    assert {"confirmed", "outside_hours", "limit_reached"} <= set(want.values())
+    assert len(set(want.values())) >= 5
 
 
 @pytest.mark.parametrize("seed,per_address,per_hour", [(1, 2, 6), (2, 1, 20), (3, 3, 3), (4, 2, 50)])
@@ -108,7 +108,7 @@ def test_claim_confirmations_in_order(spark, seed, per_address, per_hour):
             sends.append((email, t.AS_OF))
         want[i] = status
     assert got == want
-    assert {"ok", "already_sent", "invalid_email", "not_found"} <= set(want.values())
+    assert len(set(want.values())) >= 4
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -122,7 +122,7 @@ def test_apply_modifications_in_order(spark, seed):
     log = [(rng.randint(1, 50), "modified", t.AS_OF - rng.choice([10, 100_000])) for _ in range(60)]
     closed = [(1, t.day("2026-10-19"), "gala", "Gala", None, "team_only", True, None, None)]
     applied = decisions.apply_modifications(
-        spark.createDataFrame(commands, t.CMD), t.reservations(spark, booked), t.guests(spark, guest_rows(8)), t.cfg(spark, capacity=35),
+        spark.createDataFrame(commands, t.CMD), t.reservations(spark, booked), t.guests(spark, guest_rows(8)), t.cfg(spark, capacity=16),
         t.hours(spark), t.specials(spark, closed), spark.createDataFrame(log, t.LOG), t.AS_OF)
     rows = applied.collect()
     got = {r.command_id: r.status for r in rows}
@@ -163,7 +163,7 @@ def test_apply_modifications_in_order(spark, seed):
             status = "party_too_large"
         elif count[r] >= 5:
             status = "limit_reached"
-        elif 35 - definition_peak(others, new[0], new[1]) < new[2]:
+        elif 16 - definition_peak(others, new[0], new[1]) < new[2]:
             status = "no_availability"
         else:
             status = "modified"
@@ -171,7 +171,7 @@ def test_apply_modifications_in_order(spark, seed):
             count[r] += 1
         want[i] = status
     assert got == want
-    assert {"modified", "no_changes", "no_availability", "not_found"} <= set(want.values())
+    assert {"modified", "no_changes", "no_availability", "not_found"} <= set(want.values()) and len(set(want.values())) >= 6
     after = {r.reservation_id: (day_no(r.reservation_date), r.reservation_min, r.people, r.zone, r.special_requests)
              for r in decisions.modified_snapshot(t.reservations(spark, booked), applied).collect()}
     assert {k: after[k] for k in state} == {k: tuple(v) for k, v in state.items()}
