@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from seatwise.functions.scalars import date_label, local_date
 
@@ -33,26 +33,27 @@ def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str], order:
 
 # ------------------------------------------------------------------------------------------ calendar reference
 
+def _month_line(month):
+    """``October 2026: Mon 5, 12, 19, 26 | Tue 6, …`` for the first day of a month."""
+    def weekday_numbers(weekday):
+        first = (1 + (weekday - F.weekday(month) + 7) % 7).cast("int")
+        numbers = F.sequence(first, F.dayofmonth(F.last_day(month)), F.lit(7))
+        return F.concat(F.date_format(F.date_add(month, first - 1), "EEE"), F.lit(" "),
+                        F.array_join(F.transform(numbers, lambda n: n.cast("string")), ", "))
+
+    weekdays = F.transform(F.sequence(F.lit(0), F.lit(6)), weekday_numbers)
+    return F.concat(F.date_format(month, "MMMM yyyy"), F.lit(": "), F.array_join(weekdays, " | "))
+
+
 def calendar_reference(cfg: DataFrame, special_dates: DataFrame, as_of: int) -> DataFrame:
     """Per venue: the day numbers of every weekday of each month in its booking window, and its special days, as text.
 
-    Months are complete. The month lines depend only on (today, window), so they are built once per distinct pair.
+    Months are complete and follow from (today, window) alone, so they are an expression on the venue's row.
     """
     venues = cfg.select("venue_id", "tz", F.coalesce("days_ahead", F.lit(90)).alias("days_ahead")).withColumn(
         "today", local_date(as_of, F.col("tz"))).withColumn("last_day", F.date_add("today", F.col("days_ahead")))
-    windows = venues.select("today", "last_day").distinct()
-    days = windows.select("today", "last_day", F.explode(F.sequence(
-        F.trunc("today", "month"), F.last_day("last_day"))).alias("day"))
-    per_weekday = days.groupBy("today", "last_day", F.trunc("day", "month").alias("month"), F.weekday("day").alias("weekday")).agg(
-        F.array_sort(F.collect_list(F.dayofmonth("day"))).alias("numbers"), F.date_format(F.min("day"), "EEE").alias("name"))
-    entry = F.struct("weekday", F.concat(F.col("name"), F.lit(" "), F.array_join(
-        F.transform("numbers", lambda n: n.cast("string")), ", ")).alias("text"))
-    lines = per_weekday.groupBy("today", "last_day", "month").agg(F.array_sort(F.collect_list(entry)).alias("weekdays")).select(
-        "today", "last_day", "month", F.concat(F.date_format("month", "MMMM yyyy"), F.lit(": "), F.array_join(
-            F.transform("weekdays", lambda w: w["text"]), " | ")).alias("line"))
-    text = lines.groupBy("today", "last_day").agg(
-        F.array_sort(F.collect_list(F.struct("month", "line"))).alias("months")).select(
-        "today", "last_day", F.array_join(F.transform("months", lambda m: m["line"]), "\n").alias("months_text"))
+    months = F.sequence(F.to_date(F.trunc("today", "month")), F.to_date(F.trunc("last_day", "month")), F.expr("INTERVAL 1 MONTH"))
+    months_text = F.array_join(F.transform(months, _month_line), "\n")
     listed = special_dates.join(venues.select("venue_id", "today", "last_day"), "venue_id").where(
         F.col("day").between(F.col("today"), F.last_day("last_day")))
     tag = F.upper(F.replace("kind", F.lit("_"), F.lit(" ")))
@@ -61,14 +62,14 @@ def calendar_reference(cfg: DataFrame, special_dates: DataFrame, as_of: int) ->
     special = listed.groupBy("venue_id").agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(
         "venue_id", F.array_join(F.transform("entries", lambda e: e["text"]), "; ").alias("special_text"))
     return (
-        venues.join(text, ["today", "last_day"]).join(special, "venue_id", "left")
+        venues.join(special, "venue_id", "left")
         .select("venue_id", F.concat_ws(
             "\n",
             F.lit("# Calendar (weekday -> day numbers; read dates from here, never work them out yourself)"),
             F.concat(F.lit("Today is "), date_label(F.col("today")), F.lit(" ("), "tz", F.lit(").")),
             F.concat(F.lit("Table bookings open "), F.col("days_ahead").cast("string"),
                      F.lit(" days ahead: the last bookable date today is "), date_label(F.col("last_day")), F.lit(".")),
-            F.col("months_text"),
+            months_text,
             F.concat(F.lit("Special dates (details come from the availability answer): "),
                      F.coalesce("special_text", F.lit("none")), F.lit(".")),
         ).alias("calendar_text"))

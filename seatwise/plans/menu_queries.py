@@ -42,10 +42,13 @@ def read_menu_lists(t):
 
 
 @add("normalize_menu", with_views("menu_flat", f""", {ITEMS}
- SELECT id, kind, price_thb, coalesce(unit, '-') AS unit, array_to_string(service, ',') AS service, spicy, available, available_from, available_to FROM items"""))
+ SELECT id, kind, price_thb, coalesce(unit, '-') AS unit, array_to_string(service, ',') AS service, spicy, available,
+  coalesce(CAST(available_from AS VARCHAR), '') || '..' || coalesce(CAST(available_to AS VARCHAR), '') AS dates FROM items"""))
 def normalize_menu(t):
     return items(t).select("id", "kind", "price_thb", F.coalesce("unit", F.lit("-")).alias("unit"),
-                           F.array_join("service", ",").alias("service"), "spicy", "available", "available_from", "available_to")
+                           F.array_join("service", ",").alias("service"), "spicy", "available",
+                           F.concat(*[x for c in ("available_from", "available_to") for x in (
+                               F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("..") if c == "available_from" else F.lit(""))]).alias("dates"))
 
 
 @add("venue_facts", with_views("venue_kv", """
