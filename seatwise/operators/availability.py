@@ -12,6 +12,7 @@ from seatwise.functions import lexicon
 from seatwise.functions.scalars import absolute_minute, date_label, hhmm, local_absolute_second, local_date, minutes_of
 
 DAY = 1440
+NOWHERE = -10 * DAY  # a start that overlaps nothing
 _PROFILE = "array<struct<m:int,people:bigint,n:bigint>>"
 
 
@@ -202,13 +203,15 @@ def _alternatives(day: Column, minute: Column, people: Column, nearest: int) ->
 
 def with_alternatives(df: DataFrame, grid: DataFrame, day: str, minute: str, people: str, out: str = "alternatives",
                       nearest: int = 3) -> DataFrame:
-    """``df`` plus up to three nearest free times of the asked day and the same time on the two days after."""
-    keyed = grid.withColumnRenamed("day", "_day").withColumnRenamed("venue_id", "_venue")
-    return (
-        df.join(keyed, (df["venue_id"] == F.col("_venue")) & (df[day] == F.col("_day")), "left")
-        .withColumn(out, _alternatives(F.col(day), F.col(minute), F.col(people), nearest))
-        .drop("_day", "_venue", "slots_0", "slots_1", "slots_2")
-    )
+    """``df`` plus up to three nearest free times of the asked day and the same time on the two days after.
+
+    The answer depends on (venue, day, time, party) alone and is worked out once for each.
+    """
+    keys = ["venue_id", day, minute, people]
+    wishes = df.select(*keys).where(F.col(day).isNotNull()).distinct()
+    answered = wishes.join(grid.withColumnRenamed("day", day), ["venue_id", day], "left").select(
+        *keys, _alternatives(F.col(day), F.col(minute), F.col(people), nearest).alias(out))
+    return df.join(answered, keys, "left")
 
 
 def alternatives(requests: DataFrame, reservations: DataFrame, cfg: DataFrame, hours: DataFrame, special_dates: DataFrame,

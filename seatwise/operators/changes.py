@@ -48,20 +48,27 @@ def quote_modification(commands: DataFrame, reservations: DataFrame, customers:
     booked = with_booking(commands, reservations, customers, cfg, as_of)
     found = F.col("authorized") & F.col("status").isin(*lexicon.ACTIVE_STATUSES)
     proposed = proposed_change(booked.withColumn("found", found).withColumnRenamed("status", "old_status"))
-    days = proposed.where("found").select("venue_id", F.col("n_date").alias("day"))
-    facts = av.day_facts(days, reservations, hours, special_dates).withColumnRenamed("day", "n_date")
     limits = cfg.select("venue_id", "capacity", "slot_min", "days_ahead", "max_party", "max_changes_day", "tz", "team_contact")
-    own_start = ((day_number(F.col("reservation_date")) - day_number(F.col("n_date"))) * av.DAY + F.col("reservation_min")).cast("int")
+    # only a booking near the asked time has to be taken out of the count
+    own = ((day_number(F.col("reservation_date")) - day_number(F.col("n_date"))) * av.DAY + F.col("reservation_min")).cast("int")
+    near_own = F.col("found") & (F.abs(own - F.col("n_min")) < F.col("slot_min"))
+    asked = proposed.join(limits, "venue_id", "left").withColumn("own_start", F.when(near_own, own).otherwise(av.NOWHERE)).withColumn(
+        "own_people", F.when(near_own, F.col("people")).otherwise(0))
+    slot = ["venue_id", "n_date", "n_min", "own_start", "own_people"]
+    slots = asked.where("found").select(*slot, "capacity", "slot_min").distinct()
+    facts = av.day_facts(slots.select("venue_id", F.col("n_date").alias("day")), reservations, hours, special_dates).withColumnRenamed("day", "n_date")
+    per_slot = (
+        slots.join(facts, ["venue_id", "n_date"])
+        .withColumn("near", av.near_starts(F.col("profile"), F.col("n_min"), F.col("slot_min")))
+        .withColumn("seats_left", F.col("capacity") - av.peak_seated(
+            F.col("near"), F.col("n_min"), F.col("slot_min"), F.col("own_start"), F.col("own_people")))
+        .drop("profile", "near", "capacity", "slot_min")
+    )
     joined = (
-        proposed.join(limits, "venue_id", "left")
-        .join(facts, ["venue_id", "n_date"], "left")
+        asked.join(per_slot, slot, "left")
         .join(change_counts(log, as_of), "reservation_id", "left")
         .withColumn("changes_total", F.coalesce("changes_total", F.lit(0)))
         .withColumn("changes_last_day", F.coalesce("changes_last_day", F.lit(0)))
-        .withColumn("own_start", own_start)
-        .withColumn("near", av.near_starts(F.col("profile"), F.col("n_min"), F.col("slot_min")))
-        .withColumn("seats_left", F.col("capacity") - av.peak_seated(
-            F.col("near"), F.col("n_min"), F.col("slot_min"), F.col("own_start"), F.col("people")))
     )
     calendar = av.calendar_status(F.col("n_date"), F.col("n_min"), as_of)
     status = (
@@ -72,7 +79,7 @@ def quote_modification(commands: DataFrame, reservations: DataFrame, customers:
         .when(F.col("changes_last_day") >= F.col("max_changes_day"), "limit_reached")
         .when(F.col("seats_left") < F.col("n_people"), "no_availability")
         .otherwise("modified"))
-    return joined.withColumn("status", status).drop("profile", "near", "own_start")
+    return joined.withColumn("status", status).drop("own_start", "own_people")
 
 
 def modification_result(quoted: DataFrame, reservations: DataFrame, cfg: DataFrame, hours: DataFrame,

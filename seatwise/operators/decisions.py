@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from seatwise.functions import lexicon
 from seatwise.functions.scalars import day_number, local_absolute_second, local_date, minutes_of, nullif_blank, phone_normalize
 from seatwise.operators import availability as av
-from seatwise.operators.guards import HOUR, change_counts, upcoming_per_identity, with_booking
+from seatwise.operators.guards import HOUR, change_counts, upcoming_counts, with_booking
 from seatwise.session import cut_lineage, spread
 
 
@@ -123,18 +123,16 @@ def admit_bookings(requests: DataFrame, reservations: DataFrame, customers: Data
         .withColumn("venue_quota", F.greatest(F.col("max_per_hour") - F.coalesce("made_last_hour", zero), zero))
         .drop("profile", "open_min", "close_min", "team_only", "days_ahead", "tz", "made_last_hour", "max_per_hour")
     )
-    nothing = F.array().cast("array<struct<reservation_date:date,n:bigint>>")
-    booked = upcoming_per_identity(reservations, customers).withColumnRenamed("channel_user_id", "identity")
+    upcoming = reservations.join(limits.select("venue_id", "today"), "venue_id").where(F.col("reservation_date") >= F.col("today"))
+    booked = upcoming_counts(upcoming, customers).select("venue_id", F.col("channel_user_id").alias("identity"), F.col("n").alias("upcoming"))
     judged = (
         requests.withColumn("identity", F.concat(F.lit("phone:"), phone_normalize(F.col("phone"))))
         .join(per_slot, ["venue_id", "req_date", "req_min"]).join(booked, ["venue_id", "identity"], "left")
-        .withColumn("upcoming", F.aggregate(F.filter(F.coalesce("booked", nothing), lambda b: b["reservation_date"] >= F.col("today")),
-                                            zero, lambda acc, b: acc + b["n"]))
-        .withColumn("phone_quota", F.greatest(F.col("max_per_phone") - F.col("upcoming"), zero))
+        .withColumn("phone_quota", F.greatest(F.col("max_per_phone") - F.coalesce("upcoming", zero), zero))
         .withColumn("settled", F.when(F.col("calendar_status").isNotNull(), F.col("calendar_status"))
                     .when(F.col("people") > F.col("max_party"), "party_too_large")
                     .when((F.col("phone_quota") == 0) | (F.col("venue_quota") == 0), "limit_reached"))
-        .drop("booked", "upcoming", "max_per_phone", "max_party", "today", "calendar_status")
+        .drop("upcoming", "max_per_phone", "max_party", "today", "calendar_status")
     )
     wish = ["venue_id", "req_date", "req_min", "people"]
     order = ["request_epoch", "request_id"]

@@ -48,6 +48,13 @@ def reservation_customer(reservations: DataFrame, customers: DataFrame) -> DataF
     return reservations.join(people, "customer_id")
 
 
+def upcoming_counts(upcoming: DataFrame, customers: DataFrame) -> DataFrame:
+    """Active ones of the given bookings per venue and web identity; summed per customer before customers are joined."""
+    per_customer = active(upcoming).groupBy("venue_id", "customer_id").agg(F.count("*").alias("n"))
+    web = customers.where(F.col("channel") == "web").select("customer_id", "channel_user_id")
+    return per_customer.join(web, "customer_id").groupBy("venue_id", "channel_user_id").agg(F.sum("n").alias("n"))
+
+
 def upcoming_per_identity(reservations: DataFrame, customers: DataFrame) -> DataFrame:
     """Active bookings per venue and web identity as a short list of (date, bookings)."""
     per_day = active(reservations).groupBy("venue_id", "customer_id", "reservation_date").agg(F.count("*").alias("n"))
@@ -69,18 +76,20 @@ def booking_guard(requests: DataFrame, reservations: DataFrame, customers: DataF
     known = upcoming_per_identity(reservations, customers)
     identity = F.concat(F.lit("phone:"), phone_normalize(F.col("phone")))
     web_bookings = reservations.where(F.col("channel") == "web")
-    today = local_date(F.col("request_epoch"), F.col("guard_tz"))
     nothing = F.array().cast("array<struct<reservation_date:date,n:bigint>>")
-    counted = (
+    asked = (
         with_rolling_count(requests, web_bookings, ["venue_id"], HOUR, "bookings_last_hour", "request_epoch", "created_epoch")
         .join(limits, "venue_id")
         .withColumn("channel_user_id", identity)
-        .join(known, ["venue_id", "channel_user_id"], "left")
-        .withColumn("today", today)
-        .withColumn("bookings_of_phone", F.aggregate(
-            F.filter(F.coalesce("booked", nothing), lambda b: b["reservation_date"] >= F.col("today")),
-            F.lit(0).cast("long"), lambda acc, b: acc + b["n"]))
+        .withColumn("today", local_date(F.col("request_epoch"), F.col("guard_tz")))
     )
+    # a phone is counted once per day it asks on, not once per request
+    per_phone = asked.select("venue_id", "channel_user_id", "today").distinct().join(known, ["venue_id", "channel_user_id"]).select(
+        "venue_id", "channel_user_id", "today", F.aggregate(
+            F.filter(F.coalesce("booked", nothing), lambda b: b["reservation_date"] >= F.col("today")),
+            F.lit(0).cast("long"), lambda acc, b: acc + b["n"]).alias("bookings_of_phone"))
+    counted = asked.join(per_phone, ["venue_id", "channel_user_id", "today"], "left").withColumn(
+        "bookings_of_phone", F.coalesce("bookings_of_phone", F.lit(0).cast("long")))
     guard = (
         F.when(F.col("people") > F.col("max_party"), "party_too_large")
         .when(F.col("bookings_of_phone") >= F.col("max_per_phone"), "limit_reached")

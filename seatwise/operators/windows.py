@@ -6,43 +6,50 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def rolling(points: DataFrame, events: DataFrame, keys: list[str], horizon: int, out: str, point_epoch: str, event_epoch: str,
-            per_second: Column, merge, nothing: Column) -> DataFrame:
+            per_second: Column, merge) -> DataFrame:
     """For each distinct (keys, epoch) of ``points``: events of the same keys in the last ``horizon`` seconds, aggregated.
 
-    An event counts when ``point - horizon < event <= point``. Events are first aggregated per key and second (map-side),
-    then laid into time buckets one horizon wide; an event serves its own bucket and the next. A window therefore sorts
-    at most three rows per second of one bucket, never a whole key.
+    An event counts when ``point - horizon < event <= point``. Time is cut into buckets one horizon long, so the span of a
+    point is the end of one bucket and the beginning of the next. Events are first aggregated per key and second (map-side);
+    a running aggregate forwards and one backwards through each (key, bucket) then give every point its two parts. A window
+    sorts at most three rows per second of one bucket, never a whole key, and takes constant time per row, where a sliding
+    frame would go through its span again for every row.
     """
-    bucket = F.floor(F.col("epoch") / horizon)
     at = [F.col(k) for k in keys]
-    counted = (
-        events.withColumn("epoch", F.col(event_epoch)).where(F.col("epoch").isNotNull())
-        .groupBy(*keys, "epoch").agg(per_second.alias("n"))
-        .select(*at, "epoch", "n", F.explode(F.array(bucket, bucket + 1)).alias("bucket"), F.lit(False).alias("is_point"))
-    )
-    asked = (
-        points.select(*at, F.col(point_epoch).alias("epoch")).distinct()
-        .select(*at, "epoch", nothing.alias("n"), bucket.alias("bucket"), F.lit(True).alias("is_point"))
-    )
-    trailing = Window.partitionBy(*keys, "bucket").orderBy("epoch").rangeBetween(-(horizon - 1), Window.currentRow)
+    bucket = F.floor(F.col("epoch") / horizon).alias("bucket")
+    counted = events.withColumn("epoch", F.col(event_epoch)).where(F.col("epoch").isNotNull()).groupBy(*keys, "epoch").agg(
+        per_second.cast("long").alias("n")).select(*at, "epoch", bucket, "n", F.lit(0).alias("probe"), F.lit(None).cast("long").alias("asked"))
+    asked = points.select(*at, F.col(point_epoch).cast("long").alias("asked")).where(F.col("asked").isNotNull()).distinct()
+    probes = asked.select(*at, "asked", F.explode(F.array(
+        F.struct(F.col("asked").alias("epoch"), F.lit(1).alias("probe")),
+        F.struct((F.col("asked") - horizon).alias("epoch"), F.lit(2).alias("probe")))).alias("p")).select(
+        *at, F.col("p.epoch").alias("epoch"), "p.probe", "asked").select(
+        *at, "epoch", bucket, F.lit(None).cast("long").alias("n"), "probe", "asked")
+    is_probe = (F.col("probe") > 0).cast("int")
+    part = Window.partitionBy(*keys, "bucket")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    forwards = part.orderBy(F.col("epoch"), is_probe).rowsBetween(*so_far)
+    backwards = part.orderBy(F.col("epoch").desc(), is_probe.desc()).rowsBetween(*so_far)
     return (
-        asked.unionByName(counted)
-        .withColumn(out, merge("n").over(trailing))
-        .where("is_point")
-        .select(*at, F.col("epoch").alias(point_epoch), out)
+        counted.unionByName(probes)
+        .withColumn("upto", merge("n").over(forwards))
+        .withColumn("after", merge("n").over(backwards))
+        .where("probe > 0")
+        .groupBy(*keys, F.col("asked").alias(point_epoch))
+        .agg(merge(F.when(F.col("probe") == 1, F.col("upto")).otherwise(F.col("after"))).alias(out))
     )
 
 
 def rolling_counts(points: DataFrame, events: DataFrame, keys: list[str], horizon: int, out: str,
                    point_epoch: str = "epoch", event_epoch: str = "epoch") -> DataFrame:
     """Number of events in the last ``horizon`` seconds, see :func:`rolling`."""
-    return rolling(points, events, keys, horizon, out, point_epoch, event_epoch, F.count("*"), F.sum, F.lit(0).cast("long"))
+    return rolling(points, events, keys, horizon, out, point_epoch, event_epoch, F.count("*"), F.sum)
 
 
 def with_rolling_latest(df: DataFrame, events: DataFrame, keys: list[str], horizon: int, id_col: str, out: str,
                         point_epoch: str = "epoch", event_epoch: str = "epoch") -> DataFrame:
     """``df`` plus the highest id among the events of the last ``horizon`` seconds; null when there is none."""
-    latest = rolling(df, events, keys, horizon, out, point_epoch, event_epoch, F.max(id_col), F.max, F.lit(None).cast("long"))
+    latest = rolling(df, events, keys, horizon, out, point_epoch, event_epoch, F.max(id_col), F.max)
     return df.join(latest, [*keys, point_epoch], "left")
 
 
