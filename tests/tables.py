@@ -2,20 +2,12 @@
 
 import datetime as dt
 
-AS_OF = 1792058400  # 2026-10-15 10:00 UTC, 17:00 in Bangkok
-CFG = ("venue_id long, capacity int, slot_min int, days_ahead int, max_party int, max_per_phone int, max_per_hour int, "
-       "max_email_addr_day int, max_email_hour int, max_changes_day int, team_contact string, tz string")
-RES = ("reservation_id long, venue_id long, customer_id long, channel string, reservation_date date, reservation_min int, people int, "
-       "zone string, status string, special_requests string, confirmation_code string, created_epoch long, email_sent_epoch long, email_to string")
-REQ = "request_id long, venue_id long, customer_id long, phone string, req_date date, req_min int, people int, request_epoch long"
-GUEST = "customer_id long, channel string, channel_user_id string, name string, surname string, language string"
-HOURS = "venue_id long, opening_hours string"
-SPECIAL = ("venue_id long, day date, kind string, title string, details string, booking_policy string, deposit_required boolean, "
-           "price_note string, guest_note string")
-LOG = "reservation_id long, action string, created_epoch long"
-CMD = ("command_id long, venue_id long, code string, phone string, channel string, customer_id long, new_date string, new_time string, "
-       "new_people string, new_zone string, new_request string, command_epoch long")
+from seatwise.schemas import (
+    BOOKING_REQUESTS as REQ, CHANGE_COMMANDS as CMD, CHANGE_LOG as LOG, CUSTOMERS as GUEST, OPENING_HOURS as HOURS, RESERVATIONS as RES,
+    SPECIAL_DATES as SPECIAL, VENUE_CONFIG as CFG,
+)
 
+AS_OF = 1792058400  # 2026-10-15 10:00 UTC, 17:00 in Bangkok
 EVERY_DAY = "{" + ",".join(f'"{d}":[{{"open":"18:00","close":"23:00"}}]' for d in (
     "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")) + "}"
 

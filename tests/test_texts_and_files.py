@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seatwise.functions import scalars as s
 from seatwise.operators import cases, menu, metrics, outbox, quality, replies, retention, special
+from seatwise.schemas import CHAT_MESSAGES
 from seatwise.sources import executions, menu_files
 from tests import tables as t
 
@@ -181,8 +182,7 @@ def test_special_days_and_notices(spark):
 # ------------------------------------------------------------------------------------------------------ conversations
 
 def chat(spark, rows):
-    return spark.createDataFrame([(i, 1, turn, who, text, 1000 + turn) for i, (turn, who, text) in enumerate(rows)],
-                                 "id long, session_id long, turn long, type string, content string, created_epoch long")
+    return spark.createDataFrame([(i, 1, turn, who, text, 1000 + turn) for i, (turn, who, text) in enumerate(rows)], CHAT_MESSAGES)
 
 
 def judge(spark, rows, booked=(), customer=1, ok=None):
