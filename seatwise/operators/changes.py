@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from seatwise.functions import lexicon
 from seatwise.functions.scalars import date_label, day_number, hhmm, mask_contact, minutes_of, nullif_blank
 from seatwise.operators import availability as av
-from seatwise.operators.guards import authorize, change_counts, sent_mail, valid_email, with_booking
+from seatwise.operators.guards import change_counts, sent_mail, valid_email, with_booking
 from seatwise.operators.special import special_by_date
 
 TEAM_STATUSES = ["team_only_event", "party_too_large", "limit_reached", "too_far_ahead"]

@@ -10,7 +10,6 @@ from seatwise.functions import lexicon
 from seatwise.functions.scalars import diet_ok
 from seatwise.operators import menu as m, quality, special
 from seatwise.operators.availability import team_only_days
-from seatwise.operators.changes import special_by_date
 from seatwise.plans.booking_queries import SPECIAL_SQL, special_text
 from seatwise.plans.registry import Registry
 from seatwise.plans.views import AS_OF, with_views
@@ -184,7 +183,7 @@ def menu_page(t):
 
 @add("special_by_date", with_views("venue_config special_dates", SPECIAL_SQL + " SELECT venue_id, day, special FROM notes"))
 def specials(t):
-    return special_by_date(t.special_dates, t.venue_config).select("venue_id", "day", special_text().alias("special"))
+    return special.special_by_date(t.special_dates, t.venue_config).select("venue_id", "day", special_text().alias("special"))
 
 
 @add("special_of_request", with_views("venue_config special_dates booking_requests", SPECIAL_SQL + """

@@ -61,3 +61,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "o_totalprice" not in schema and "o_orderpriority" not in schema
     plan = QUERIES["anti_join_chain"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in plan
+
+
+def test_rank_limits_are_applied_before_the_shuffle(spark):
+    plan = QUERIES["trailing_messages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit .*Partial", plan)
