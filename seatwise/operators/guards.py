@@ -125,4 +125,4 @@ def change_counts(log: DataFrame, as_of: int) -> DataFrame:
 
 
 def valid_email(email):
-    return (F.length(email) <= lexicon.EMAIL_MAX_LENGTH) & email.rlike(lexicon.EMAIL_PATTERN)
+    return F.coalesce((F.length(email) <= lexicon.EMAIL_MAX_LENGTH) & email.rlike(lexicon.EMAIL_PATTERN), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from seatwise.operators.decisions import admit_bookings
 
 
-def admission_batches(tables: Callable[[], dict[str, DataFrame]], decisions_path: str, as_of_of: Callable[[DataFrame], int]):
+def admission_batches(tables: Callable[[], dict[str, DataFrame]], decisions_path: str, instant: Callable[[DataFrame], int]):
     """A ``foreachBatch`` function: judge the micro-batch against the present tables, write one folder per batch id.
 
     ``tables`` reads the current reservations, customers, cfg, hours and special_dates, including what earlier batches
@@ -19,8 +19,8 @@ def admission_batches(tables: Callable[[], dict[str, DataFrame]], decisions_path
         if batch.isEmpty():
             return
         t = tables()
-        decided = admit_bookings(batch, t["reservations"], t["customers"], t["cfg"], t["hours"], t["special_dates"], as_of_of(batch))
-        decided.withColumn("decided_epoch", F.lit(as_of_of(batch)).cast("long")).write.mode("overwrite").parquet(f"{decisions_path}/batch_id={batch_id}")
+        decided = admit_bookings(batch, t["reservations"], t["customers"], t["cfg"], t["hours"], t["special_dates"], instant(batch))
+        decided.withColumn("decided_epoch", F.lit(instant(batch)).cast("long")).write.mode("overwrite").parquet(f"{decisions_path}/batch_id={batch_id}")
     return run
 
 
