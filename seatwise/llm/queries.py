@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seatwise.llm import minhash_join, mixing, packing, quality
-from seatwise.llm.common import table
+from seatwise.llm import imatch, licenses, minhash_join, mixing, packing, quality, sharding, warc
+from seatwise.llm.common import shared_folder, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.resolve(written(warc.read_headers(spark, path), "headers"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,6 +43,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op4_minhash_join, op7_quality, op8_packing, op9_mixing)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+QUERIES = {query.__name__: query for query in (
+    op2_sharding, op4_minhash_join, op5_imatch, op6_warc, op7_quality, op8_packing, op9_mixing, op10_licenses)}
 
 ORACLES: dict[str, str] = {}
