@@ -7,16 +7,24 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seatwise.llm import imatch, licenses, minhash_join, mixing, packing, quality, sharding, warc
+from seatwise.llm import imatch, licenses, minhash_join, mixing, multi_index, packing, quality, sharding, warc, wrappers
 from seatwise.llm.common import shared_folder, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op2_sharding, op4_minhash_join, op5_imatch, op6_warc, op7_quality, op8_packing, op9_mixing, op10_licenses)}
+    op1_wrappers, op2_sharding, op3_multi_index, op4_minhash_join, op5_imatch, op6_warc, op7_quality,
+    op8_packing, op9_mixing, op10_licenses)}
 
 ORACLES: dict[str, str] = {}
