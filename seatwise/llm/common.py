@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +54,11 @@ def running(df: DataFrame, keys: list[str], sums: dict[str, str], order: list[st
                                    for new, c in sums.items()]))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out a single time, however often it is used: as a lambda's argument."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def batches_of(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of an Arrow batch whose texts have about ``most`` bytes; a longer text makes a slice of its own."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatwise.llm.common import shuffle_partitions, written
+from seatwise.llm.common import once, shuffle_partitions, written
 
 BITS = 22
 SCALES, DRAWS = 6, 8
@@ -42,11 +42,6 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW_IDF, high: flo
     return longs.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"]).alias("lexicon"))  # 2 ** 16 longs
 
 
-def once(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out a single time, however often it is used: as a lambda's argument."""
-    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
-
-
 def hashes(text: Column, known: Column) -> Column:
     """SCALES x DRAWS hashes of the text's terms in each sub-lexicon, null where it has none."""
     def held(term: Column) -> Column:

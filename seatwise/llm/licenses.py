@@ -14,6 +14,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seatwise.llm.common import once
+
 #: The base phrases and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
@@ -79,8 +81,16 @@ WAYS = [
     (r"(?:{name})", 0.7),
 ]
 
-#: Anything a base phrase or a rule can match contains one of these.
-GATE = r"(?i)licen|copyright|rights.{1,9}reserved|public.{1,9}domain|creative.{1,9}commons|unlicense|wtfpl|cddl|cc0|gpl|cc[^0-9a-z]+by"
+#: Whatever a base phrase or a rule matches contains one of these in lower case, or "cc", other signs and "by".
+MARKS = ("licen", "reserved", "domain", "creative", "commons", "wtfpl", "cddl", "cc0", "gpl", "bsd")
+
+
+def may_match(text: Column) -> Column:
+    low = F.lower(text)
+    found = low.contains("cc") & low.rlike(r"cc[^0-9a-z]+by")
+    for mark in MARKS:
+        found = found | low.contains(mark)
+    return found
 
 
 def rules() -> list[dict]:
@@ -98,16 +108,17 @@ def spaces(text: Column) -> Column:
 
 def spans_of(rule: Column, words: Column) -> Column:
     """Where a rule matches ``words`` (a blank before, between and after words): first and last word, priority, score, label."""
-    hits = F.regexp_extract_all(words, rule["pattern"], F.lit(0))
-    between = F.split(words, rule["pattern"])
-
-    def span(hit: Column, i: Column) -> Column:
-        passed = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda n, part: n + spaces(part))
-        passed = F.aggregate(F.slice(hits, F.lit(1), i), passed, lambda n, part: n + spaces(part)) - 1
-        return F.struct(passed.alias("first"), (passed + spaces(hit)).alias("last"), rule["priority"].alias("priority"),
-                        rule["score"].alias("score"), rule["label"].alias("label"))
+    def located(hits: Column, between: Column) -> Column:
+        def span(hit: Column, i: Column) -> Column:
+            passed = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda n, part: n + spaces(part))
+            passed = F.aggregate(F.slice(hits, F.lit(1), i), passed, lambda n, part: n + spaces(part)) - 1
+            return F.struct(passed.alias("first"), (passed + spaces(hit)).alias("last"), rule["priority"].alias("priority"),
+                            rule["score"].alias("score"), rule["label"].alias("label"))
+        return F.transform(hits, span)
 
-    return F.transform(hits, span)
+    hits = F.regexp_extract_all(words, rule["pattern"], F.lit(0))
+    return once(hits, lambda h: F.when(F.size(h) > 0, once(F.split(words, rule["pattern"]), lambda b: located(h, b)))
+                .otherwise(F.array().cast(SPAN)))
 
 
 def unsuppressed(spans: Column) -> Column:
@@ -144,10 +155,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
     rows = docs.select(F.col(doc_id).alias("doc_id"),
                        F.regexp_count(value, F.lit(r"[0-9A-Za-z\u0080-\x{10FFFF}]+")).cast("long").alias("n_words"),
-                       F.when(value.rlike(GATE), words).alias("words"))
-    listed = F.split(F.trim("words"), " ")
-    rows = rows.withColumn("base", F.when(F.col("words").isNotNull(), F.array(*[
-        F.struct(F.lit(label).alias("label"), places(phrase, F.col("words"), listed).alias("at")) for phrase, label in PHRASES])))
+                       F.when(may_match(value), words).alias("words"))
+    rows = rows.withColumn("base", F.when(F.col("words").isNotNull(), once(F.split(F.trim("words"), " "), lambda listed: F.array(*[
+        F.struct(F.lit(label).alias("label"), places(phrase, F.col("words"), listed).alias("at")) for phrase, label in PHRASES]))))
     tried = F.from_json(F.lit(json.dumps(rules())), "array<struct<label:string,keyword:string,pattern:string,priority:int,score:double>>")
     found = F.flatten(F.transform(F.filter(tried, lambda r: F.col("words").contains(r["keyword"])), lambda r: spans_of(r, F.col("words"))))
     rows = rows.withColumn("detections", F.coalesce(F.when(F.col("words").isNotNull(), found).cast(SPAN), F.array().cast(SPAN)))
