@@ -154,20 +154,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = written(confirmed(written(colliding(stars, signatures, matches), "stars"), docs, doc_id, text, percent), "confirmed")
     near = components(first, "a", "b")
 
-    marked = (postings.join(near, "node", "left").join(lists.where("size > 2").select("token"), "token", "left_semi")
+    # What is left: lists of three and more (of a pair all is known) that still hold several components.
+    marked = (postings.join(lists.where("size > 2").select("token"), "token", "left_semi").join(near, "node", "left")
               .select("token", "node", F.coalesce("label", "node").alias("label")))
-    marked = written(marked, "marked")
     shares = marked.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = (shares.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
                .where("labels > 1").select("token", "most"))
-    mixed = marked.join(largest, "token")
+    mixed = written(marked.join(largest, "token"), "mixed")
     minor = mixed.where("label != most").select("token", F.col("node").alias("m"), F.col("label").alias("of"))
     others = mixed.select("token", "node", "label")
     crossing = (minor.join(others, "token").where("label != of")
                 .select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b")).distinct())
-    rest = confirmed(written(colliding(crossing.join(stars, ["a", "b"], "left_anti"), signatures, matches), "crossing"),
-                     docs, doc_id, text, percent)
-    near = components(first.unionByName(rest), "a", "b")
+    crossing = written(colliding(crossing.join(stars, ["a", "b"], "left_anti"), signatures, matches), "crossing")
+    if not crossing.isEmpty():
+        rest = written(confirmed(crossing, docs, doc_id, text, percent), "confirmed")
+        if not rest.isEmpty():
+            near = components(first.unionByName(rest), "a", "b")
 
     labels = reps.select(*key, "node").join(near, "node", "left").select(*key, F.coalesce("label", "node").alias("label"))
     found = rows.drop("signature").join(labels, key, "left")
