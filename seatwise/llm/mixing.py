@@ -70,7 +70,13 @@ def schedule(goals: DataFrame, block: int, total: int) -> DataFrame:
     met = drawn.join(cells, "cell").where("point >= low and point < high").select(
         source_key(F.col("source")).alias("key"), "target", "slot", F.lit(1).cast("long").alias("one"))
     ranked = running(met, ["key"], {"rank": "one"}, ["slot"], bucket=F.floor(F.col("slot") / 16384))
-    return ranked.where(F.col("rank") * block < F.col("target")).select("key", "rank", "slot", "target")
+    # A share so small that too few points fall on it gets the slots it lacks at the end of the schedule.
+    had = met.groupBy("key").agg(F.count(F.lit(1)).alias("had"))
+    due = goals.where("target > 0").select(source_key(F.col("source")).alias("key"), "target", F.ceil(F.col("target") / block).alias("due"))
+    late = due.join(had, "key", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("due > had").select(
+        "key", F.explode(F.sequence("had", F.col("due") - 1)).alias("rank"), "target")
+    late = late.select("key", "rank", (F.col("rank") + F.lit(slots + slots // 4 + 64)).alias("slot"), "target")
+    return ranked.where(F.col("rank") * block < F.col("target")).select("key", "rank", "slot", "target").unionByName(late)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = 256) -> DataFrame:
