@@ -1,11 +1,13 @@
 """Vocabularies, patterns, limits and label words that results depend on."""
 
 # Codes whose national 0 is not dialled internationally (E.164 country codes).
-ZERO_DROPPING_COUNTRY_CODES = (
-    "1 7 20 27 30 31 32 33 34 36 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
-    "81 82 84 86 90 91 92 93 94 95 98 212 213 216 234 254 351 352 353 354 356 357 358 359 370 371 372 380 381 385 "
-    "386 420 421 852 853 855 856 880 886 960 961 962 965 966 968 971 972 973 974 977"
-).split()
+ZERO_DROPPING_COUNTRY_CODES = [
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+    "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86",
+    "90", "91", "92", "93", "94", "95", "98", "212", "213", "216", "234", "254", "351", "352", "353", "354", "356",
+    "357", "358", "359", "370", "371", "372", "380", "381", "385", "386", "420", "421", "852", "853", "855", "856",
+    "880", "886", "960", "961", "962", "965", "966", "968", "971", "972", "973", "974", "977",
+]
 
 # Menu vocabularies.
 SERVICES = ["lunch", "afternoon", "dinner"]
@@ -56,13 +58,16 @@ SPANISH_MARKS = "[¿¡ñáéíóú]"
 SPANISH_WORDS = (r"\b(hola|buen[oa]s|mesa|reserva|quiero|quisiera|para|gracias|cancelar|cambiar|tenéis|teneis)\b")
 
 # Names that must never reach a guest.
-TOOL_NAMES = ("check_availability create_reservation find_my_reservations cancel_reservation modify_reservation "
-              "save_consent send_confirmation_email find_dishes").split()
-INTERNAL_NAMES = (
-    "missing_required_fields consent_required no_availability past_date outside_hours too_far_ahead team_only_event "
-    "party_too_large limit_reached error_invalid_notice error_unknown_customer already_sent invalid_email rate_limited "
-    "send_failed not_found no_changes notice_text notice_version date_label special_requests customer_id "
-    "reservation_id team_contact suits_guest").split()
+TOOL_NAMES = [
+    "check_availability", "create_reservation", "find_my_reservations", "cancel_reservation", "modify_reservation",
+    "save_consent", "send_confirmation_email", "find_dishes",
+]
+INTERNAL_NAMES = [
+    "missing_required_fields", "consent_required", "no_availability", "past_date", "outside_hours", "too_far_ahead",
+    "team_only_event", "party_too_large", "limit_reached", "error_invalid_notice", "error_unknown_customer",
+    "already_sent", "invalid_email", "rate_limited", "send_failed", "not_found", "no_changes", "notice_text",
+    "notice_version", "date_label", "special_requests", "customer_id", "reservation_id", "team_contact", "suits_guest",
+]
 RAW_JSON = r'\{\s*"[a-z_]+"\s*:'
 
 # A reply that says a booking is made.

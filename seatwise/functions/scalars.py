@@ -42,6 +42,11 @@ def minutes_of(text: Column) -> Column:
     return F.when((hour < 24) & (minute < 60), total)
 
 
+def bound_minutes(text: Column) -> Column:
+    """``HH:MM`` of opening hours, which may end at 24:00."""
+    return F.when(F.trim(text) == "24:00", F.lit(1440)).otherwise(minutes_of(text))
+
+
 def csv_param(c: Column) -> Column:
     """A comma list from a request: lower case, no white space, no empties."""
     packed = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s", "")

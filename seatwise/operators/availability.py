@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seatwise.functions import lexicon
-from seatwise.functions.scalars import absolute_minute, date_label, hhmm, local_absolute_second, local_date, minutes_of
+from seatwise.functions.scalars import absolute_minute, bound_minutes, date_label, hhmm, local_absolute_second, local_date, minutes_of
 
 DAY = 1440
 NOWHERE = -10 * DAY  # a start that overlaps nothing
@@ -120,7 +120,7 @@ def opening_intervals(days: DataFrame, hours: DataFrame) -> DataFrame:
     return (
         days.join(per_venue, "venue_id")
         .withColumn("span", F.explode(F.try_element_at("week", weekday)))
-        .select(*days.columns, minutes_of(F.col("span.open")).alias("open_min"), minutes_of(F.col("span.close")).alias("close_min"))
+        .select(*days.columns, minutes_of(F.col("span.open")).alias("open_min"), bound_minutes(F.col("span.close")).alias("close_min"))
     )
 
 
@@ -129,7 +129,7 @@ def opening_window(days: DataFrame, hours: DataFrame) -> DataFrame:
     weekday = F.lower(F.date_format("day", "EEEE"))
     per_venue = hours.select("venue_id", F.from_json("opening_hours", _HOURS).alias("week"))
     spans = F.transform(F.try_element_at("week", weekday), lambda s: F.struct(
-        minutes_of(s["open"]).alias("open_min"), minutes_of(s["close"]).alias("close_min")))
+        minutes_of(s["open"]).alias("open_min"), bound_minutes(s["close"]).alias("close_min")))
     return (
         days.join(per_venue, "venue_id", "left")
         .withColumn("first", F.array_min(spans))
@@ -259,7 +259,7 @@ def calendar_status(day: Column, minute: Column, as_of: int | Column) -> Column:
     Expects open_min, close_min, team_only, days_ahead and tz beside the request.
     """
     tz = F.col("tz")
-    closed = (F.col("open_min").isNull() | (minute < F.col("open_min")) | (minute > F.col("close_min") - 30))
+    closed = (F.col("open_min").isNull() | F.col("close_min").isNull() | (minute < F.col("open_min")) | (minute > F.col("close_min") - 30))
     return (
         F.when(absolute_minute(day, minute) * 60 < local_absolute_second(as_of, tz), "past_date")
         .when(day > F.date_add(local_date(as_of, tz), F.col("days_ahead")), "too_far_ahead")

@@ -39,4 +39,4 @@ def generate_bookings(venues: DataFrame, first: str, last: str, excluded: list[s
     numbered = ranked_by_id(rows.withColumn("position", position), ["venue_id"], "position", "number", block=1440 * 3000)
     digits = F.col("number").cast("string")
     return numbered.withColumn("confirmation_code", F.concat(
-        F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), "0"))).drop("position", "table_no", "number")
+        F.lit(prefix), F.col("venue_id").cast("string"), F.lit("-"), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), "0"))).drop("position", "table_no", "number")

@@ -184,8 +184,11 @@ def reminded_snapshot(cases: DataFrame, due: DataFrame) -> DataFrame:
 
 
 def notification_outcomes(cases: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Cases after the staff message was tried: a failure cancels the case, a success stores the message id."""
-    last = outcomes.groupBy("case_id").agg(F.max_by(F.struct("ok", "message_id"), "epoch").alias("_last"))
+    """Cases after the staff message was tried: a failure cancels the case, a success stores the message id.
+
+    The last outcome by (epoch, seq) counts; ``seq`` tells apart outcomes of one second.
+    """
+    last = outcomes.groupBy("case_id").agg(F.max_by(F.struct("ok", "message_id"), F.struct("epoch", "seq")).alias("_last"))
     tried = F.col("_last").isNotNull()
     return cases.join(last, "case_id", "left").withColumns({
         "status": F.when(tried & ~F.col("_last.ok"), "cancelled").otherwise(F.col("status")),

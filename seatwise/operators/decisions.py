@@ -16,7 +16,7 @@ from seatwise.functions import lexicon
 from seatwise.functions.scalars import day_number, local_absolute_second, local_date, minutes_of, nullif_blank, phone_normalize
 from seatwise.operators import availability as av
 from seatwise.operators.guards import HOUR, change_counts, upcoming_counts, with_booking
-from seatwise.session import cut_lineage, spread
+from seatwise.session import spread
 
 
 def _first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -144,8 +144,8 @@ def admit_bookings(requests: DataFrame, reservations: DataFrame, customers: Data
         day_number(F.col("req_date")).alias("day_no"), F.transform("near", lambda b: b["m"]).alias("near_starts"),
         F.transform("near", lambda b: b["people"]).alias("near_people"))
     kinds = dict(requests.dtypes)
-    admitted = cut_lineage(spread(walked, "venue_id").groupBy("venue_id").applyInPandas(
-        _admitted_in_order, f"venue_id {kinds['venue_id']}, request_epoch long, request_id {kinds['request_id']}, identity string"))
+    admitted = spread(walked, "venue_id").groupBy("venue_id").applyInPandas(
+        _admitted_in_order, f"venue_id {kinds['venue_id']}, request_epoch long, request_id {kinds['request_id']}, identity string")
     # At most M rows per venue were admitted, so every request can be placed among them without a shuffle of its own.
     taken = admitted.groupBy("venue_id").agg(F.collect_list(F.struct("request_epoch", "request_id", "identity")).alias("taken"))
     me = F.struct("request_epoch", "request_id")

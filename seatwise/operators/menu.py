@@ -75,7 +75,9 @@ def matching_items(filters: DataFrame, menu: DataFrame) -> DataFrame:
         F.lower(F.concat_ws(" ", "name", "description", "section")).alias("haystack"))
 
     def around(text):
-        return F.concat(F.lit("%"), text, F.lit("%"))
+        # a backslash that escapes nothing stands for itself
+        literal = F.regexp_replace(text, r"\G((?:[^\\]|\\[%_\\])*+)\\(?![%_\\])", r"$1\\\\")
+        return F.concat(F.lit("%"), literal, F.lit("%"))
 
     def wild(text):
         return F.contains(text, F.lit("%")) | F.contains(text, F.lit("_")) | F.contains(text, F.lit("\\"))

@@ -88,8 +88,12 @@ def guarded_delete(tables: Mapping[str, DataFrame], ids: DataFrame, expected_cus
     """Delete the listed bookings and their customers, or nothing.
 
     ``tables`` holds change_log, reservations, consents and customers; ``ids`` the (reservation_id, confirmation_code)
-    pairs. Raises unless exactly ``expected_customers`` customers are touched and none owns another booking.
+    pairs. Raises unless every pair is a booking, exactly ``expected_customers`` customers are touched and none owns another booking.
     """
+    pairs = ids.select("reservation_id", "confirmation_code").distinct()
+    unknown = pairs.join(tables["reservations"], ["reservation_id", "confirmation_code"], "left_anti")
+    if not unknown.isEmpty():
+        raise ValueError("a listed booking has another code or does not exist, nothing deleted")
     owners = targeted_customers(tables["reservations"], ids)
     seen = owners.agg(F.count("*").alias("customers"), F.sum("others").alias("others")).first()
     if seen["customers"] != expected_customers or (seen["others"] or 0) > 0:

@@ -24,9 +24,9 @@ def with_special(df: DataFrame, special_dates: DataFrame, cfg: DataFrame, day: s
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``target`` plus the rows of ``new`` whose key it does not have; of several new rows with one key the first is kept."""
+    """``target`` plus the rows of ``new`` whose key it does not have; of several new rows with one key the first by ``order``, then by value, is kept."""
     rest = [c for c in new.columns if c not in keys]
-    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(order, *rest)).alias("_row")).select(*keys, "_row.*")
     absent = first.join(target.select(*keys), keys, "left_anti")
     return target.unionByName(absent.select(*target.columns))
 

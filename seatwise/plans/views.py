@@ -215,8 +215,9 @@ SELECT doc_id AS notice_id, concat('tenant-', source) AS tenant,
  CAST(1790000000 + (doc_id * 7919) % 1000003 AS BIGINT) AS effective_epoch, n_chars AS text_length FROM {documents}""",
     "access_log": "SELECT event_id, user_id AS visitor, @EPOCH(ts) AS epoch, CAST(value * 1000 AS BIGINT) AS body_bytes FROM {events}",
     "dependants": """
-SELECT o_custkey AS customer_id, 'reservations' AS source FROM {orders} WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'
- UNION ALL SELECT user_id AS customer_id, concat('events_', event_type) AS source FROM {events}""",
+SELECT o_custkey - o_custkey % 3 + 1 AS customer_id, 'reservations' AS source FROM {orders}
+ UNION ALL SELECT user_id * 2 AS customer_id, concat('events_', event_type) AS source FROM {events}
+ UNION ALL SELECT doc_id * 4 AS customer_id, 'documents' AS source FROM {documents}""",
 }
 
 BASE_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job relies on. Broadcast joins are left to Spark's own size check
@@ -38,16 +36,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     For steps whose work per row is out of proportion to its bytes: sized by bytes, they would be merged into a few tasks.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder, so later uses neither recompute it nor depend on executors.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without one (a test) gets its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="seatwise-"))
-    return df.checkpoint(eager=True)

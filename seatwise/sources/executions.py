@@ -24,4 +24,4 @@ def flatten_calls(executions: DataFrame) -> DataFrame:
     """One row per model call; an execution without calls keeps one row with null tokens, so that it counts as a message."""
     return executions.select("execution_id", "started_at", "seconds", F.explode_outer("calls").alias("call")).select(
         "execution_id", "started_at", "seconds", F.col("call.promptTokens").alias("prompt_tokens"),
-        F.col("call.completionTokens").alias("completion_tokens"))
+        F.col("call.completionTokens").alias("completion_tokens"), F.col("call").isNotNull().alias("called"))

@@ -18,9 +18,9 @@ def admission_batches(tables: Callable[[], dict[str, DataFrame]], decisions_path
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        t = tables()
-        decided = admit_bookings(batch, t["reservations"], t["customers"], t["cfg"], t["hours"], t["special_dates"], instant(batch))
-        decided.withColumn("decided_epoch", F.lit(instant(batch)).cast("long")).write.mode("overwrite").parquet(f"{decisions_path}/batch_id={batch_id}")
+        t, now = tables(), instant(batch)
+        decided = admit_bookings(batch, t["reservations"], t["customers"], t["cfg"], t["hours"], t["special_dates"], now)
+        decided.withColumn("decided_epoch", F.lit(now).cast("long")).write.mode("overwrite").parquet(f"{decisions_path}/batch_id={batch_id}")
     return run
 
 
