@@ -6,13 +6,14 @@
 2. Every representative is posted under each of its coordinate-value pairs. Two representatives are candidates if at least ``matches``
    coordinates collide. As in prefix filtering, pairs found nowhere else count for nothing; the others are ranked by how many
    representatives hold them, and only the rarest (held - matches + 1) are posted: two signatures with ``matches`` collisions meet in one.
-3. Merging skips what is decided. First each list meets its least member (a star, never all pairs); collisions are counted on the two
-   signatures and the survivors confirmed on the full sets. While that joins something, each list that still holds several components
+3. Merging skips what is decided. First each list meets its least member (a star, never all pairs); their agreeing min-hashes are counted
+   (by one byte of each) and pairs with ``agree`` or more confirmed on the full sets. While that joins something, each list that still holds several components
    offers another member of its largest one to those outside, which try the most alike of each component. What then still holds
    several components is joined, members outside a list's largest component against members of other components, so every link that
    could still join two components is tried. Links inside a component change no answer and are skipped.
 
-A pair of similarity 0.75 agrees in 0.75 ** 3 of 42 coordinates, 17.7 on average; fewer than 3 happen with a chance of about 5e-8.
+A pair of similarity 0.75 agrees in 0.75 ** 3 of 42 coordinates, 17.7 on average; fewer than 3 happen with a chance of about 5e-8. It agrees
+in 94 of 126 min-hashes on average; fewer than 68 happen with a chance of about 1e-7.
 """
 
 from __future__ import annotations
@@ -57,40 +58,44 @@ def coordinate_seeds(coordinates: int, minima: int) -> tuple[np.ndarray, np.ndar
     return seeds[:count, None] | np.uint64(1), seeds[count:, None]
 
 
-def signature(shingles: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], minima: int) -> np.ndarray:
-    """Each coordinate's number and least hash values over a set that is not empty, as one hash; very large sets go in parts."""
+def signature(shingles: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], minima: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each coordinate's number and least hash values over a set that is not empty, as one hash, and the last byte of every least value;
+    very large sets go in parts."""
     times, plus = seeds
     least = None
     for i in range(0, len(shingles), 1 << 12):
         part = ((times * shingles[None, i:i + (1 << 12)] + plus) >> np.uint64(32)).min(axis=1)
         least = part if least is None else np.minimum(least, part)
+    low = least.astype(np.uint8).view(np.int8)
     least = least.reshape(-1, minima)
     value = np.arange(1, len(least) + 1, dtype=np.uint64)
     for i in range(minima):
         value = mix(value + least[:, i] * np.uint64(0x9E3779B97F4A7C15))
-    return value.view(np.int64)
+    return value.view(np.int64), low
 
 
 def signed(docs: DataFrame, doc_id: str, text: str, coordinates: int, minima: int) -> DataFrame:
-    """doc_id, a hash of the text, n_shingles, two 64-bit sums that name the set, and its signature (null for an empty set)."""
+    """doc_id, a hash of the text, n_shingles, two 64-bit sums that name the set, its signature and the bytes of its minima (null for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = coordinate_seeds(coordinates, minima)
         for whole in batches:
             for batch in batches_of(whole, "text"):
-                counts, first, second, rows = [], [], [], []
+                counts, first, second, rows, lows = [], [], [], [], []
                 for shingles in shingle_sets(batch.column("text")):
                     counts.append(len(shingles))
                     first.append(int(shingles.sum(dtype=np.uint64)) - (1 << 63))
                     second.append(int(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) - (1 << 63))
-                    rows.append(signature(shingles, seeds, minima) if len(shingles) else None)
+                    row, low = signature(shingles, seeds, minima) if len(shingles) else (None, None)
+                    rows.append(row)
+                    lows.append(low)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                     pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "k1", "k2", "signature"])
+                     pa.array(rows, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int8()))], ["doc_id", "text_hash", "n_shingles", "k1", "k2", "signature", "low"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, signature array<long>")
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, signature array<long>, low array<tinyint>")
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -122,12 +127,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, percent
             .select("a", "b").distinct())
 
 
-def colliding(pairs: DataFrame, signatures: DataFrame, matches: int) -> DataFrame:
-    """The pairs (a, b, and what else their rows hold) whose signatures agree in at least ``matches`` coordinates, and in how many."""
-    both = (pairs.join(signatures.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
-            .join(signatures.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b"))
+def agreeing(pairs: DataFrame, lows: DataFrame, agree: int) -> DataFrame:
+    """The pairs (a, b, and what else their rows hold) with at least ``agree`` equal bytes of min-hashes, and how many they are."""
+    both = (pairs.join(lows.select(F.col("node").alias("a"), F.col("low").alias("x")), "a")
+            .join(lows.select(F.col("node").alias("b"), F.col("low").alias("y")), "b"))
     equal = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e)
-    return both.withColumn("equal", equal).where(F.col("equal") >= matches).drop("x", "y")
+    return both.withColumn("equal", equal).where(F.col("equal") >= agree).drop("x", "y")
 
 
 def undecided(postings: DataFrame, lists: DataFrame, near: DataFrame) -> DataFrame:
@@ -149,7 +154,7 @@ def offered(mixed: DataFrame, turn: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coordinates: int = 42, minima: int = 3,
-                    matches: int = 3, percent: int = 75, rounds: int = 4) -> DataFrame:
+                    matches: int = 3, agree: int = 68, percent: int = 75, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and a hash of the text for every row of ``docs``.
 
     Two documents are linked if their sets of distinct five-word shingles have 100 * intersection >= percent * union;
@@ -162,9 +167,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = written(signed(docs, doc_id, text, coordinates, minima), "signed")
     key = ["k1", "k2", "n_shingles"]
     groups = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(
-        F.min(F.struct("doc_id", "signature")).alias("least"))
-    reps = written(groups.select(*key, F.col("least.doc_id").alias("node"), F.col("least.signature").alias("signature")), "reps")
-    signatures = reps.select("node", "signature")
+        F.min(F.struct("doc_id", "signature", "low")).alias("least"))
+    reps = written(groups.select(*key, F.col("least.doc_id").alias("node"), F.col("least.signature").alias("signature"), F.col("least.low").alias("low")), "reps")
+    lows = reps.select("node", "low")
 
     posts = reps.select("node", F.explode("signature").alias("token"))
     held = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -175,12 +180,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     lists = postings.groupBy("token").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     stars = postings.join(lists.select("token", "a"), "token").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    found = written(confirmed(written(colliding(stars, signatures, matches).select("a", "b"), "stars"), docs, doc_id, text, percent), "confirmed")
+    found = written(confirmed(written(agreeing(stars, lows, agree).select("a", "b"), "stars"), docs, doc_id, text, percent), "confirmed")
     near = components(found, "a", "b")
 
     mixed = written(undecided(postings, lists, near), "mixed")
     for turn in range(rounds):
-        best = (colliding(offered(mixed, turn), signatures, matches).groupBy("m", "of")
+        best = (agreeing(offered(mixed, turn), lows, agree).groupBy("m", "of")
                 .agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct())
         more = written(confirmed(written(best, "offered"), docs, doc_id, text, percent), "confirmed")
         if more.isEmpty():
@@ -193,14 +198,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     others = mixed.select("token", "node", "label", "most")
     crossing = (minor.join(others, "token").where("label != of and (label = most or m < node)")
                 .select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b")).distinct())
-    crossing = written(colliding(crossing, signatures, matches).join(stars, ["a", "b"], "left_anti").select("a", "b"), "crossing")
+    crossing = written(agreeing(crossing, lows, agree).join(stars, ["a", "b"], "left_anti").select("a", "b"), "crossing")
     if not crossing.isEmpty():
         rest = written(confirmed(crossing, docs, doc_id, text, percent), "confirmed")
         if not rest.isEmpty():
             near = components(found.unionByName(rest), "a", "b")
 
     labels = reps.select(*key, "node").join(near, "node", "left").select(*key, F.coalesce("label", "node").alias("label"))
-    labelled = rows.drop("signature").join(labels, key, "left")
+    labelled = rows.drop("signature", "low").join(labels, key, "left")
     return labelled.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"),
                         F.coalesce("label", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
 
