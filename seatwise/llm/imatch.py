@@ -1,10 +1,13 @@
 """I-Match fingerprints with randomised lexicons. DataFrame functions only.
 
 Terms are the distinct runs of letters and digits of a text, in lower case. The lexicon holds the terms whose inverse document frequency
-over all documents lies in a band: common words say nothing, rare ones are often typing errors. A term is in the band only if a fixed
-share of the documents holds it, so the lexicon has at most (terms per document / share) entries whatever the corpus; it is kept as a
+over all distinct texts lies in a band: common words say nothing, rare ones are often typing errors. A term is in the band only if a fixed
+share of the texts holds it, so the lexicon has at most (terms per text / share) entries whatever the corpus; it is kept as a
 bit set of ``2 ** BITS`` bits (512 KB).
 
+A text with too few of its terms in the lexicon (one of a large group of near copies, which make their own terms common, or one in a
+rare language) is described by all of its terms, and so is whatever it is compared with.
+
 A document's lexicon terms, distinct and sorted, are cut down to several random sub-lexicons of ever smaller shares of all terms, and what is
 left in each is hashed. A small sub-lexicon is untouched by an edit that misses its few terms; which size tells most depends on the
 length of the text, so there are SCALES sizes with DRAWS sub-lexicons each.
@@ -22,33 +25,53 @@ SCALES, DRAWS = 6, 8
 LOW_IDF, HIGH_IDF = 2.3, 8.5
 
 
+#: A text has too few terms in the lexicon if they are less than FEW or less than one in PART of all its terms.
+FEW, PART = DRAWS // 2, 4
+
+
 def terms(text: Column) -> Column:
-    """Hashes of the distinct terms of a text (an empty text has one empty term, which no lexicon holds)."""
-    return F.array_distinct(F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.xxhash64(t)))
+    """Hashes of the distinct terms of a text."""
+    found = F.array_distinct(F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.xxhash64(t)))
+    return F.array_remove(found, F.xxhash64(F.lit("")))
+
+
+def bit_set(values: DataFrame, name: str) -> DataFrame:
+    """One row: ``bits``, the bit set of the values that are ``held``, and ``n``, how many values there are. ``values``: value, held."""
+    bit = F.pmod(F.col("value"), F.lit(1 << BITS))
+    one = F.when(F.col("held"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))
+    longs = values.groupBy(F.floor(bit / 64).cast("int").alias("at")).agg(F.bit_or(one).alias("bits"), F.count(F.lit(1)).alias("n"))
+    every = values.sparkSession.range(1 << (BITS - 6)).select(F.col("id").cast("int").alias("at"))
+    longs = written(every.join(longs, "at", "left").select("at", F.coalesce("bits", F.lit(0)).alias("bits"), F.coalesce("n", F.lit(0)).alias("n")), name)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"])  # 2 ** 16 longs
+    return longs.agg(in_order.alias("bits"), F.sum("n").alias("n"))
+
+
+def is_held(value: Column, bits: Column) -> Column:
+    bit = F.pmod(value, F.lit(1 << BITS))
+    return F.getbit(F.get(bits, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1
+
+
+def distinct_texts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Every ``text`` once, and how many there are. Only texts that share their bit with a repeated one are dealt out to be compared."""
+    key = F.xxhash64("text")
+    found = written(bit_set(rows.groupBy(key.alias("value")).agg((F.count(F.lit(1)) > 1).alias("held")), "repeated"), "repeated")
+    marked = rows.withColumn("repeated", found.select("bits").scalar()).select("text", is_held(key, F.col("repeated")).alias("repeated"))
+    single, repeated = marked.where(~F.col("repeated")).select("text"), marked.where("repeated").select("text").distinct()
+    return single.unionByName(repeated), found.first()["n"]
 
 
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW_IDF, high: float = HIGH_IDF) -> DataFrame:
-    """One row, one column: the bit set of the terms with low <= ln(documents / documents that hold the term) <= high."""
-    rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    total = rows.count()
-    held = rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """One row, one column: the bit set of the terms with low <= ln(distinct texts / those that hold the term) <= high."""
+    rows, total = distinct_texts(docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))
+    held = rows.select(F.explode(terms(F.col("text"))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log(F.lit(float(max(total, 1))) / F.col("n"))
-    band = held.where((F.col("term") != F.xxhash64(F.lit(""))) & (idf >= low) & (idf <= high))
-    bit = F.pmod(F.col("term"), F.lit(1 << BITS))
-    bits = band.select(F.floor(bit / 64).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit"))
-    longs = bits.groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    every = docs.sparkSession.range(1 << (BITS - 6)).select(F.col("id").cast("int").alias("at"))
-    longs = written(every.join(longs, "at", "left").select("at", F.coalesce("bits", F.lit(0)).alias("bits")), "lexicon")
-    return longs.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"]).alias("lexicon"))  # 2 ** 16 longs
-
+    band = held.where((idf >= low) & (idf <= high)).select("value", F.lit(True).alias("held"))
+    return bit_set(band, "lexicon").select(F.col("bits").alias("lexicon"))
 
-def hashes(text: Column, known: Column) -> Column:
-    """SCALES x DRAWS hashes of the text's terms in each sub-lexicon, null where it has none."""
-    def held(term: Column) -> Column:
-        bit = F.pmod(term, F.lit(1 << BITS))
-        return F.getbit(F.get(known, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1
 
-    kept = F.array_sort(F.transform(F.filter(terms(text), held), lambda t: F.xxhash64(t, F.lit("draw"))))
+def drawn_hashes(kept: Column) -> Column:
+    """SCALES x DRAWS hashes of the terms in each sub-lexicon, null where it has none."""
+    ordered = F.array_sort(F.transform(kept, lambda t: F.xxhash64(t, F.lit("draw"))))
 
     def residue(share: int, j: int):
         return lambda t: F.pmod(t, F.lit(share)) == j
@@ -61,11 +84,22 @@ def hashes(text: Column, known: Column) -> Column:
         share = DRAWS * 4 ** scale
         return once(F.filter(kept, lambda t: F.pmod(t, F.lit(share)) < DRAWS), lambda drawn: digests(drawn, share))
 
-    return once(kept, lambda k: F.flatten(F.array(*[of_scale(k, scale) for scale in range(SCALES)])))
+    return once(ordered, lambda k: F.flatten(F.array(*[of_scale(k, scale) for scale in range(SCALES)])))
+
+
+def hashes(text: Column, known: Column) -> Column:
+    """The drawn hashes of the text's lexicon terms; null if these are too few."""
+    def enough(kept: Column, every: Column) -> Column:
+        return (F.size(kept) >= FEW) & (F.size(kept) * PART >= F.size(every))
+
+    def of_terms(every: Column) -> Column:
+        return once(F.filter(every, lambda t: is_held(t, known)), lambda kept: F.when(enough(kept, every), drawn_hashes(kept)))
+
+    return once(terms(text), of_terms)
 
 
 def fingerprint(text: Column, found: Column) -> Column:
-    """The hashes as text; a text without lexicon terms is named by its whole value."""
+    """The hashes as text; a text without terms is named by its whole value."""
     some = F.exists(found, lambda h: h.isNotNull())
     shown = F.array_join(F.transform(found, lambda h: F.coalesce(F.lower(F.hex(h)), F.lit("-"))), ".")
     return F.when(some, shown).otherwise(F.concat(F.lit("text:"), F.md5(text)))
@@ -123,11 +157,19 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.left("text", n - cut), F.left("next_text", cut))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", "hashes", "next_text", "next_hashes", edited.alias("edited"))
-    rows = rows.withColumn("lexicon", known.scalar()).withColumn("edited_hashes", hashes(F.col("edited"), F.col("lexicon")))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "hashes", "edited_hashes", "next_hashes",
-                       fingerprint(F.col("text"), F.col("hashes")).alias("fingerprint"),
-                       fingerprint(F.col("edited"), F.col("edited_hashes")).alias("edited_fingerprint"),
-                       fingerprint(F.col("next_text"), F.col("next_hashes")).alias("next_fingerprint"))
+    rows = rows.withColumn("lexicon", known.scalar()).withColumn("edited_hashes", hashes(F.col("edited"), F.col("lexicon"))).drop("lexicon")
+    few, edited_few, next_few = (F.col(c).isNull() for c in ("hashes", "edited_hashes", "next_hashes"))
+    rows = rows.select("*", F.when(few | edited_few | next_few, drawn_hashes(terms(F.col("text")))).alias("all"),
+                       F.when(few | edited_few, drawn_hashes(terms(F.col("edited")))).alias("edited_all"),
+                       F.when(few | next_few, drawn_hashes(terms(F.col("next_text")))).alias("next_all"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                       F.when(few | edited_few, F.col("all")).otherwise(F.col("hashes")).alias("by_edited"),
+                       F.when(few | edited_few, F.col("edited_all")).otherwise(F.col("edited_hashes")).alias("edited_hashes"),
+                       F.when(few | next_few, F.col("all")).otherwise(F.col("hashes")).alias("by_next"),
+                       F.when(few | next_few, F.col("next_all")).otherwise(F.col("next_hashes")).alias("next_hashes"),
+                       fingerprint(F.col("text"), F.coalesce("hashes", "all")).alias("fingerprint"),
+                       fingerprint(F.col("edited"), F.coalesce("edited_hashes", "edited_all")).alias("edited_fingerprint"),
+                       fingerprint(F.col("next_text"), F.coalesce("next_hashes", "next_all")).alias("next_fingerprint"))
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                       likeness(F.col("hashes"), F.col("edited_hashes"), F.col("fingerprint") == F.col("edited_fingerprint")).alias("near_edited"),
-                       likeness(F.col("hashes"), F.col("next_hashes"), F.col("fingerprint") == F.col("next_fingerprint")).alias("near_next"))
+                       likeness(F.col("by_edited"), F.col("edited_hashes"), F.col("fingerprint") == F.col("edited_fingerprint")).alias("near_edited"),
+                       likeness(F.col("by_next"), F.col("next_hashes"), F.col("fingerprint") == F.col("next_fingerprint")).alias("near_next"))

@@ -225,6 +225,22 @@ def test_edited_texts_and_fingerprints(spark, documents, nothing):
     assert imatch.fingerprints(nothing).count() == 0
 
 
+def test_fingerprints_where_copies_and_edited_copies_are_a_third_of_the_rows(spark):
+    draw = random.Random(11)
+    text = [f"hot{i}" for i in range(120)]
+    rows = [(i, " ".join(text)) for i in range(20)]
+    rows += [(20 + i, " ".join(text[:i * 3] + [f"own{i}x{j}" for j in range(6)] + text[i * 3 + 6:])) for i in range(30)]
+    rows += [(100 + i, " ".join(f"w{draw.randrange(4000)}" for _ in range(100))) for i in range(100)]
+    got = {r.doc_id: r for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.fingerprint.startswith("text:") for r in got.values())
+    assert len({got[i].fingerprint for i in range(20)}) == 1
+    assert all(got[i].near_next >= 0.25 for i in range(1, 50))
+    assert sum(got[i].near_edited for i in range(1, 50)) > 10 * sum(got[i].near_next for i in range(101, 200))
+    assert sum(got[i].near_next for i in range(101, 200)) < 0.1 * 99
+    alone = spark.createDataFrame([(i, f"rare{i} one{i} two{i} three{i} four{i} five{i}") for i in range(9000)], "doc_id long, text string")
+    assert not any(r.fingerprint.startswith("text:") for r in imatch.fingerprints(alone).collect())
+
+
 def test_license_places_equal_brute_force(spark, documents, nothing):
     for docs in (table(spark, SF, "documents"), documents):
         for r, d in zip(sorted(licenses.scan(docs).collect(), key=lambda r: (str(r.doc_id), r.n_words)),
