@@ -43,17 +43,27 @@ def byte_letters() -> list[str]:
 
 
 class WordIds:
-    """Ids of white-space separated words, each worked out once and kept; the store starts anew beyond ``most`` words."""
+    """Ids of white-space separated words, each worked out once and kept; the store starts anew beyond ``most`` words. Added tokens are
+    matched in the text as it stands, before anything else; they are kept behind a blank, which no word holds."""
 
     def __init__(self, path: str, most: int = 800_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.most = self.tokenizer.model, most
+        self.added = {token.content.encode(): i for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cuts = _re.compile(b"(" + b"|".join([_re.escape(a) for a in sorted(self.added, key=len, reverse=True)]) + b")")
         self.clear()
 
     def clear(self) -> None:
         self.places: dict[bytes, int] = {}
         self.flat, self.starts = array("I"), array("I", [0])
+        for content, i in self.added.items():
+            self.keep(b" " + content, [i])
+
+    def words(self, text: bytes) -> list[bytes]:
+        if not any([content in text for content in self.added]):
+            return text.lower().split()
+        parts = self.cuts.split(text)
+        return [word for n, part in enumerate(parts) for word in ([b" " + part] if n % 2 else part.lower().split())]
 
     def merged(self, part: bytes) -> list[int]:
         letters = byte_letters()
@@ -76,7 +86,9 @@ class WordIds:
         return [i for part in PARTS.findall(text) for i in self.merged(part.encode())]
 
     def place(self, word: bytes) -> int:
-        ids = self.encode(word)
+        return self.keep(word, self.encode(word))
+
+    def keep(self, word: bytes, ids: list[int]) -> int:
         at = self.places[word] = len(self.starts) - 1
         self.flat.extend(ids)
         self.starts.append(len(self.flat))
@@ -88,7 +100,7 @@ class WordIds:
             self.clear()
         places, firsts = [], [0]
         for text in texts:
-            words = text.lower().split()
+            words = self.words(text)
             found = list(map(self.places.get, words))
             if None in found:
                 found = [self.place(word) if at is None else at for word, at in zip(words, map(self.places.get, words), strict=True)]

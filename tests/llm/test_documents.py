@@ -135,6 +135,22 @@ def test_tokens_of_odd_words_equal_the_tokenizer():
         assert words.batch([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_inside_a_text_equal_the_tokenizer(spark):
+    tokenizer, words, draw = Tokenizer.from_file(TOKENIZER), packing.WordIds(TOKENIZER), random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>", "<|endoftext", "|>", " ", "\n", "a", "It's", "É", "\u0338", "\u0301", "don't.", "٢", "<"]
+    texts = ["one <|endoftext|> two", "one <|ENDOFTEXT|> two", "<|endoftext|>", "<|startoftext|>a<|endoftext|><|endoftext|>"]
+    texts += ["".join(draw.choice(parts) for _ in range(12)) for _ in range(300)]
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert want[0] == [637, 49407, 1237]
+    flat, bounds = words.batch([text.encode() for text in texts])
+    assert [flat[bounds[i]:bounds[i + 1]].tolist() for i in range(len(texts))] == want
+    words.clear()
+    assert words.batch([texts[3].encode()])[0].tolist() == want[3]
+    piece, = packing.pack(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), TOKENIZER).collect()
+    ids = [*want[0], 1]
+    assert (piece.doc_tokens, piece.ids_crc32) == (4, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+
+
 def goals(sizes):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
