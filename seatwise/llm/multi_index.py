@@ -1,8 +1,9 @@
 """Nearest neighbours by inner product with an inverted multi-index.
 
 The two halves of the vectors are quantised apart, each with its own centroids, so k + k centroids make k * k cells. The index holds every
-distinct vector in its cell. A query walks the centroid pairs by summed distance with a heap until it has passed its share of the
-index, and all entries of those cells are reranked by the exact product.
+distinct vector in its cell. A query walks the centroid pairs by summed product of their halves with a heap until it has passed some
+entries, which are ranked by the exact product. Its k-th best of them is a floor: what follows are all further cells that can hold a
+product as high, by the products with the cell's centroids and the greatest residuals and norm in the cell (Cauchy-Schwarz).
 
 Equal vectors are one entry with the least ids that any answer can need, and equal queries are searched once, so a vector that a third of
 all rows share costs one row. Cells with many entries are split over several parts; a part that many queries visit is copied for
@@ -42,8 +43,12 @@ def assign(rows: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.argmin((found * found).sum(axis=1)[None, :] - 2 * rows @ found.T, axis=1)
 
 
+def length(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows * rows).sum(axis=-1))
+
+
 def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: float) -> list[int]:
-    """Cells in order of the summed distances of their halves until their entries are ``wanted`` (all cells, if there are fewer)."""
+    """Cells in rising order of the sums of their halves until their entries are ``wanted`` (all cells, if there are fewer)."""
     one, two = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     a, b = first[one].tolist(), second[two].tolist()
     heap, seen, cells, passed = [(a[0] + b[0], 0, 0)], {(0, 0)}, [], 0
@@ -64,14 +69,14 @@ def numbers(column: pd.Series, dim: int) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), dim)
 
 
-def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, visit: float = 0.8,
+def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, ahead: int = 4096,
            sample: int = 20_000, per_cell: int = 64, most_centroids: int = 1024, seed: int = 11) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the ``k`` nearest found of every row whose id is divisible by ``every``.
+    """query_id, rank (from 1), vec_id and score of the ``k`` nearest of every row whose id is divisible by ``every``.
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id, and a query's own id is left out. The centroids
     are fitted on at most ``sample`` vectors (least hashes); every vector is indexed. There are about ``per_cell`` entries to a cell,
-    at most ``most_centroids`` squared cells. A query visits at least the share ``visit`` of the entries; it is high because vectors
-    without clusters have their neighbours in many cells.
+    at most ``most_centroids`` squared cells. A query visits ``ahead`` entries first, then every cell that its bound does not exclude:
+    the answer is exact, and vectors without clusters, which have their neighbours in many cells, cost nearly the whole index.
 
     Vectors that are null, zero, of another length than the most frequent one, or hold null or non-finite components take no part, nor do rows with a
     null id. A repeated row counts once; rows with one id and different vectors are vectors of their own. With fewer candidates
@@ -103,12 +108,17 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = numbers(batch["v"], dim)
-            yield batch.assign(cell=assign(x[:, :half], first) * side + assign(x[:, half:], second))
-
-    celled = written(entries.mapInPandas(place, "key string, ids array<long>, v array<double>, cell long"), "cells")
-    counts = np.zeros(side * side, np.int64)
-    for row in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # at most side * side rows
+            one, two = assign(x[:, :half], first), assign(x[:, half:], second)
+            yield batch.assign(cell=one * side + two, off=length(x[:, :half] - first[one]), second_off=length(x[:, half:] - second[two]), norm=length(x))
+
+    placed = "key string, ids array<long>, v array<double>, cell long, off double, second_off double, norm double"
+    celled = written(entries.mapInPandas(place, placed), "cells")
+    counts, limits = np.zeros(side * side, np.int64), np.zeros((3, side * side))
+    most = [F.max(c).alias(c) for c in ("off", "second_off", "norm")]
+    for row in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *most).toLocalIterator():  # at most side * side rows
         counts[row["cell"]] = row["n"]
+        limits[:, row["cell"]] = row["off"], row["second_off"], row["norm"]
+    celled = celled.drop("off", "second_off", "norm")
     # Cells are dealt over parts of about PART entries; a cell with more has several parts of its own.
     splits = np.maximum(1, -(-counts // PART))
     parts = int(max(1, -(-total // PART)))
@@ -121,27 +131,35 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
             share = [int(name[:15], 16) % int(splits[cell]) for name, cell in zip(batch["key"], batch["cell"], strict=True)]
             yield batch.assign(part=[part_of(cell, s) for cell, s in zip(batch["cell"], share, strict=True)])[["part", "cell", "ids", "v"]]
 
+    def walked(one: np.ndarray, two: np.ndarray) -> list[int]:
+        return walk(-one, -two, counts, min(total, max(ahead, k + 1)))
+
+    def not_excluded(one: np.ndarray, two: np.ndarray, v: np.ndarray, floor: float) -> list[int]:
+        """The cells not walked that may hold a product of ``floor`` or more."""
+        near, far, whole = length(v[:half]), length(v[half:]), length(v)
+        bound = np.minimum((one[:, None] + two[None, :]).ravel() + near * limits[0] + far * limits[1], whole * limits[2]) + 1e-9 * whole * limits[2]
+        left = (counts > 0) & ~(bound < floor)
+        left[walked(one, two)] = False
+        return np.flatnonzero(left).tolist()
+
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = numbers(batch["v"], dim)
-            near, far = x[:, :half], x[:, half:]
-            one = (first * first).sum(axis=1)[None, :] - 2 * near @ first.T
-            two = (second * second).sum(axis=1)[None, :] - 2 * far @ second.T
+            one, two = x[:, :half] @ first.T, x[:, half:] @ second.T
             for i in range(len(batch)):
                 by_part: dict[int, list[int]] = {}
-                for cell in walk(one[i], two[i], counts, max(visit * total, min(total, k + 1))):
+                floor = float(batch["floor"].iloc[i]) if "floor" in batch else float("-inf")
+                cells = not_excluded(one[i], two[i], x[i], floor) if "floor" in batch else walked(one[i], two[i])
+                for cell in cells:
                     for share in range(int(splits[cell])):
                         by_part.setdefault(part_of(cell, share), []).append(cell)
-                yield pd.DataFrame({"part": list(by_part), "key": batch["key"].iloc[i], "v": [batch["v"].iloc[i]] * len(by_part),
-                                    "cells": [sorted(set(c)) for c in by_part.values()]})
+                if by_part:
+                    yield pd.DataFrame({"part": list(by_part), "key": batch["key"].iloc[i], "v": [batch["v"].iloc[i]] * len(by_part),
+                                        "cells": [sorted(set(c)) for c in by_part.values()], "floor": floor})
 
     asked = keyed.where(F.col("id") % every == 0).select("key").distinct()
     wanted = entries.join(asked, "key", "left_semi").select("key", "v")
-    visiting = written(wanted.mapInPandas(visits, "part long, key string, v array<double>, cells array<long>"), "visits")
-    blocks = visiting.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = celled.mapInPandas(deal, "part long, cell long, ids array<long>, v array<double>")
-    left = dealt.join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    right = visiting.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
 
     def rerank(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         keys, ids, scores = [], [], []
@@ -150,9 +168,11 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
             x, cells = numbers(held["v"], dim), held["cell"].to_numpy()
             names = held["ids"].tolist()
             lowest = np.array([n[0] for n in names])
-            for name, v, visited in zip(queries["key"], queries["v"], queries["cells"], strict=True):
+            for name, v, visited, floor in zip(queries["key"], queries["v"], queries["cells"], queries["floor"], strict=True):
                 at = np.flatnonzero(np.isin(cells, visited))
                 score = np.array([x[at] @ np.asarray(v, np.float64)]).ravel()
+                high = ~(score < floor - 1e-12 * abs(floor))  # others are in no answer
+                at, score = at[high], score[high]
                 best = np.lexsort((lowest[at], -score))[:k + 1]
                 for i in best:
                     keys.extend([name] * len(names[at[i]]))
@@ -160,8 +180,19 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddi
                     scores.extend([float(score[i])] * len(names[at[i]]))
         return pd.DataFrame({"key": keys, "vec_id": ids, "score": scores}).astype({"key": object, "vec_id": "int64", "score": "float64"})
 
-    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(rerank, "key string, vec_id long, score double")
+    def met(queries: DataFrame) -> DataFrame:
+        """The best of each part for the queries that visit it."""
+        visiting = written(queries.mapInPandas(visits, "part long, key string, v array<double>, cells array<long>, floor double"), "visits")
+        blocks = visiting.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        left = dealt.join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        right = visiting.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+        return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(rerank, "key string, vec_id long, score double")
+
     order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    ahead_found = written(met(wanted), "ahead")
+    floors = ahead_found.withColumn("place", F.row_number().over(order)).where(F.col("place") == k + 1).select("key", F.col("score").alias("floor"))
+    floored = wanted.join(floors, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = ahead_found.unionByName(met(floored))
     best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     best = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))  # k + 1 entries
     answers = keyed.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "key").distinct().join(best, "key")

@@ -81,6 +81,20 @@ def test_recall_and_exact_scores(spark):
     assert hits / (20 * len(found)) >= 0.9
 
 
+def test_nearest_of_vectors_of_varied_norms(spark):
+    draw = np.random.default_rng(4)
+    for sigma in (0.3, 1.0):
+        x = draw.normal(size=(6000, 16))
+        x *= (draw.lognormal(sigma=sigma, size=6000) / np.linalg.norm(x, axis=1))[:, None]
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        found = defaultdict(list)
+        for r in multi_index.search(df, every=100, ahead=200).orderBy("query_id", "rank").collect():
+            found[r.query_id].append(r.vec_id)
+        assert sorted(found) == list(range(0, 6000, 100))
+        for q, own in found.items():
+            assert own == [i for i in np.argsort(-(x @ x[q]), kind="stable")[:21].tolist() if i != q][:20]
+
+
 def test_vectors_that_take_no_part_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(100, [0.0, 1.0]), (101, None), (102, [0.0, 0.0]), (103, [nan, 1.0]), (104, [inf, 1.0]), (105, [1.0]),
