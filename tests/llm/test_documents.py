@@ -221,6 +221,17 @@ def test_one_large_group_of_copies_is_split_evenly(spark):
     assert max(load.values()) < 1.05 * sum(load.values()) / 16
 
 
+def test_pairs_stay_together_when_all_rows_have_copies(spark):
+    rows = [(i, f"text {i // 2:05d}") for i in range(3000)] + [(5000 + i, "hot number") for i in range(1500)]
+    load, held = Counter(), defaultdict(set)
+    for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        load[r.shard] += r["size"]
+        held[r.text_crc32].add(r.shard)
+    hot = held.pop(zlib.crc32(b"hot number"))
+    assert all(len(shards) == 1 for shards in held.values()) and len(hot) <= 16
+    assert sum(load.values()) == 11 * 4500 and max(load.values()) < 1.05 * sum(load.values()) / 16
+
+
 def test_edited_texts_and_fingerprints(spark, documents, nothing):
     import hashlib
     for docs in (table(spark, SF, "documents"), documents):
