@@ -115,20 +115,28 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         yield tuple(path), found
 
 
-# A wrapper item is [kind, optional, repeated, pages, characters, hash of the constant text or None, items inside]; "#" is a text slot.
+#: Words outside an article that never change over so many different pages are part of the layout.
+CONSTANT_FROM = 8
+
+# A wrapper item is [kind, optional, repeated, pages, characters, hash of the constant text or None, items inside]; "#" is a text slot. Its
+# pages are the least CONSTANT_FROM hashes of the contents of the pages that have it, so copies of a page count once.
 KIND, OPTIONAL, REPEATED, PAGES, CHARS, CONSTANT, INSIDE = range(7)
 
 
+def different(a: list[int], b: list[int]) -> list[int]:
+    return a if a == b else sorted({*a, *b})[:CONSTANT_FROM]
+
+
 def join(a: list, b: list) -> list:
     """One item for two matching ones. Different texts make a slot."""
-    return [a[KIND], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], a[PAGES] + b[PAGES], a[CHARS] + b[CHARS],
+    return [a[KIND], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], different(a[PAGES], b[PAGES]), a[CHARS] + b[CHARS],
             a[CONSTANT] if a[CONSTANT] == b[CONSTANT] else None, align(a[INSIDE], b[INSIDE])]
 
 
 def repeated(a: list, b: list) -> list:
     """One item for two occurrences on the same pages."""
     found = join(a, b)
-    found[REPEATED], found[PAGES] = True, max(a[PAGES], b[PAGES])
+    found[REPEATED] = True
     return found
 
 
@@ -175,6 +183,7 @@ def wrapper_of(found: list[tuple[tuple[str, ...], str]]) -> list[list]:
     root: list[list] = []
     open_path: list[tuple[str, list]] = []
     previous: tuple[str, ...] = ()
+    page = zlib.crc32(repr(found).encode("utf-8", "replace"))
     for path, text in found:
         shared = 0
         while shared < min(len(path), len(previous), len(open_path)) and path[shared] == previous[shared]:
@@ -183,10 +192,10 @@ def wrapper_of(found: list[tuple[tuple[str, ...], str]]) -> list[list]:
             shared -= 1  # the next block of the same kind
         del open_path[shared:]
         for kind in path[shared:]:
-            item = [kind, False, False, 1, 0, None, []]
+            item = [kind, False, False, [], 0, None, []]
             (open_path[-1][1] if open_path else root).append(item)
             open_path.append((kind, item[INSIDE]))
-        (open_path[-1][1] if open_path else root).append(["#", False, False, 1, len(text), zlib.crc32(text.encode("utf-8", "replace")), []])
+        (open_path[-1][1] if open_path else root).append(["#", False, False, [page], len(text), zlib.crc32(text.encode("utf-8", "replace")), []])
         previous = path
     return settle(root)
 
@@ -222,26 +231,12 @@ def is_text(path: tuple[str, ...]) -> bool:
     return True
 
 
-#: From so many pages on, words outside an article that never change are part of the layout.
-CONSTANT_FROM = 8
-
-
 def main_paths(wrapper: list[list]) -> list[str]:
     """The paths of the slots that hold the main text."""
     kept = [(path, item) for path, item in slots(wrapper) if is_text(path)]
     inside = [(path, item) for path, item in kept if any(kind.partition(".")[0] in ("article", "main") for kind in path)]
     if not sum(item[CHARS] for _, item in inside):
-        inside = [(path, item) for path, item in kept if item[CONSTANT] is None or item[PAGES] < CONSTANT_FROM or item[REPEATED]]
-        depth = 0
-        while True:  # down into the block that holds most of the text, as long as one does
-            weights: dict[tuple[str, ...], int] = {}
-            for path, item in inside:
-                if len(path) > depth:
-                    weights[path[:depth + 1]] = weights.get(path[:depth + 1], 0) + item[CHARS]
-            top = max(weights, key=lambda p: weights[p], default=())
-            if not top or weights[top] <= 0.6 * sum(item[CHARS] for _, item in inside) or top[-1].partition(".")[0] in ("p", *HEADINGS):
-                break
-            inside, depth = [(path, item) for path, item in inside if path[:depth + 1] == top], depth + 1
+        inside = [(path, item) for path, item in kept if item[CONSTANT] is None or len(item[PAGES]) < CONSTANT_FROM or item[REPEATED]]
     return sorted({"/".join(path) for path, _ in inside})
 
 

@@ -26,6 +26,18 @@ def test_main_text(spark):
     assert got[97][0] == "Long words of text 2\n\nMore 2"
 
 
+def test_main_text_outside_an_article_is_kept_whole(spark):
+    long = "many words of the text " * 20
+    split = f"<body><h1>Title</h1><div><p>{long}</p></div><section>More of it</section><table><tr><td>A cell</table></body>"
+    copied = "<body><div id=menu>Go</div><div><p>Copied text</p></div><blockquote>Only here</blockquote></body>"
+    rows = [(1, "http://one.org/", split)] + [(10 + i, f"http://copies.org/{i}", copied) for i in range(12)]
+    rows += [(30 + i, f"http://copies.org/x{i}", f"<body><div id=menu>Go</div><div><p>Other text {i}</p></div></body>") for i in range(9)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "\n\n".join(["Title", long.strip(), "More of it", "A cell"])
+    assert all(got[10 + i] == "Copied text\n\nOnly here" for i in range(12))
+    assert all(got[30 + i] == f"Other text {i}" for i in range(9))
+
+
 def test_wrappers_have_optional_and_repeated_groups():
     made = [wrappers.wrapper_of(list(wrappers.blocks(p))) for p in ("<div><p>a<p>b<p>c</div>", "<div><h2>t</h2><p>a</div>")]
     (item,) = wrappers.align(*made)
