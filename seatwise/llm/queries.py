@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seatwise.llm import imatch, licenses, minhash_join, mixing, multi_index, packing, quality, sharding, warc, wrappers
+from seatwise.llm import golay, imatch, licenses, minhash_join, mixing, multi_index, packing, quality, sharding, warc, wrappers
 from seatwise.llm.common import shared_folder, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,8 +55,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op13_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {query.__name__: query for query in (
     op1_wrappers, op2_sharding, op3_multi_index, op4_minhash_join, op5_imatch, op6_warc, op7_quality,
-    op8_packing, op9_mixing, op10_licenses)}
+    op8_packing, op9_mixing, op10_licenses, op13_golay_simhash)}
 
 ORACLES: dict[str, str] = {}
