@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seatwise.llm import golay, imatch, licenses, minhash_join, mixing, multi_index, packing, quality, sharding, warc, wrappers
+from seatwise.llm import golay, imatch, licenses, minhash_join, mixing, multi_index, packing, quality, setm, sharding, warc, wrappers
 from seatwise.llm.common import shared_folder, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,12 +55,38 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op12_setm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setm.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {query.__name__: query for query in (
     op1_wrappers, op2_sharding, op3_multi_index, op4_minhash_join, op5_imatch, op6_warc, op7_quality,
-    op8_packing, op9_mixing, op10_licenses, op13_golay_simhash)}
-
-ORACLES: dict[str, str] = {}
+    op8_packing, op9_mixing, op10_licenses, op12_setm, op13_golay_simhash)}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op12_setm": rf"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+pieces AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM texts),
+words AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM pieces),
+runs AS (SELECT lang, w1, lead(w1) OVER (PARTITION BY piece ORDER BY i) AS w2, lead(w1, 2) OVER (PARTITION BY piece ORDER BY i) AS w3 FROM words),
+counts AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, [w1] AS p FROM runs UNION ALL SELECT lang, [w1, w2] FROM runs WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, [w1, w2, w3] FROM runs WHERE w3 IS NOT NULL) GROUP BY lang, p),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE len(p) = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counts WHERE len(p) > 1 AND f >= 10),
+halves AS (SELECT lang, p, f AS a, k, p[1:k] AS head, p[k + 1:len(p)] AS tail FROM candidates, (VALUES (1), (2)) cut(k) WHERE k < len(p)),
+cuts AS (SELECT h.lang, h.p, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+    FROM halves h JOIN counts x ON x.lang = h.lang AND x.p = h.head JOIN counts y ON y.lang = h.lang AND y.p = h.tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_pairs AS (SELECT lang, p[i:i + 1] AS p, max(f) AS longer FROM candidates, (VALUES (1), (2)) place(i) WHERE len(p) = 3 GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_pairs USING (lang, p) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, array_to_string(p, ' ') AS phrase,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""",
+}
