@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seatwise.llm import golay, imatch, licenses, minhash_join, mixing, multi_index, packing, quality, setm, sharding, warc, wrappers
+from seatwise.llm import golay, imatch, licenses, minhash_join, mixing, multi_index, packing, quality, setm, sharding, term_pipeline, warc, wrappers
 from seatwise.llm.common import shared_folder, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op11_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_setm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setm.collocations(table(spark, sf_dir, "documents"))
 
@@ -65,11 +69,26 @@ def op13_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {query.__name__: query for query in (
     op1_wrappers, op2_sharding, op3_multi_index, op4_minhash_join, op5_imatch, op6_warc, op7_quality,
-    op8_packing, op9_mixing, op10_licenses, op12_setm, op13_golay_simhash)}
+    op8_packing, op9_mixing, op10_licenses, op11_term_pipeline, op12_setm, op13_golay_simhash)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op11_term_pipeline": f"""
+WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, {_TERMS} AS t FROM documents),
+items AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS t FROM benchmark),
+asked AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(t) AS term FROM items) GROUP BY ALL),
+totals AS (SELECT count(*) FILTER (len(t) > 0) AS n, sum(len(t))::BIGINT AS l FROM docs),
+lengths AS (SELECT doc, doc_id, 75 + (25 * len(t) * n) // l AS m FROM docs, totals WHERE len(t) > 0),
+tfs AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM docs) SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY term),
+scores AS (SELECT item, item_id, doc, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (doc) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+    FROM scores WHERE score > 0) WHERE rank <= 20
+""",
     "op12_setm": rf"""
 WITH texts AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 pieces AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM texts),
