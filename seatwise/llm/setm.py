@@ -33,7 +33,7 @@ from seatwise.llm.words import lowered, text_bytes
 PIECE_ENDS = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
 SPACES = byte_class(b"\x20\x09")
 UNKNOWN = "und"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: floor(1000000 a a / (l r)) in whole decimals.
 SCORE = "CAST((CAST(a AS DECIMAL(19,0)) * CAST(a AS DECIMAL(19,0)) * 1000000) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0))) AS BIGINT)"
 
@@ -53,7 +53,7 @@ def numbered_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     inside = ~(ends_piece | SPACES[data])
     starts, ends, firsts = runs(inside, offsets)
     numbers, words = numbered(lowered(data), inside, starts, ends)
-    pieces = np.cumsum(ends_piece)[starts] + np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    pieces = np.cumsum(ends_piece, dtype=np.int32)[starts] + np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     breaks = np.flatnonzero(np.diff(pieces)) + 1
     return np.insert(numbers, breaks, -1), words, np.bincount(numbers, minlength=len(words))
 
