@@ -67,45 +67,71 @@ def peak_seated(near: Column, start: Column, slot: Column, own_start: Column | N
     return F.array_max(F.transform(points, seated)).cast("long")
 
 
+SLOT = ["venue_id", "req_date", "req_min"]
+
+
+def with_slots(requests: DataFrame, per_slot: DataFrame) -> DataFrame:
+    """Every request with what is known of its (venue_id, req_date, req_min); keys that are null meet nulls, so none is lost.
+
+    ``known_venue`` says whether the venue has a configuration: ``per_slot`` has a row (and a capacity) for just those slots.
+    """
+    renamed = per_slot.withColumnsRenamed({c: f"_{c}" for c in SLOT}).withColumn("known_venue", F.lit(True))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SLOT]
+    return requests.join(renamed, same, "left").drop(*[f"_{c}" for c in SLOT]).withColumn(
+        "known_venue", F.coalesce("known_venue", F.lit(False)))
+
+
+def unanswerable() -> Column:
+    """unknown_venue, or invalid_request where the date, the time or the party is missing; to be continued with further cases."""
+    missing = F.col("req_date").isNull() | F.col("req_min").isNull() | F.col("people").isNull()
+    return F.when(~F.col("known_venue"), "unknown_venue").when(missing, "invalid_request")
+
+
+def near_of_slot() -> Column:
+    """The starts near an asked slot (``profile``, ``slot_min``, req_date, req_min); null without date or time."""
+    asked = F.col("req_date").isNotNull() & F.col("req_min").isNotNull()
+    return F.when(asked, near_starts(F.col("profile"), F.col("req_min"), F.col("slot_min")))
+
+
 def slot_peaks(slots: DataFrame, reservations: DataFrame, cfg: DataFrame) -> DataFrame:
-    """Peak and seats left for each distinct (venue_id, req_date, req_min) of ``slots``."""
-    asked = slots.select("venue_id", "req_date", "req_min").distinct()
+    """Peak and seats left for each distinct (venue_id, req_date, req_min) of ``slots`` whose venue is known; null without date or time."""
+    asked = slots.select(*SLOT).distinct()
     profiles = day_profiles(reservations).withColumnRenamed("day", "req_date")
     return (
         asked.join(cfg.select("venue_id", "capacity", "slot_min"), "venue_id")
         .join(profiles, ["venue_id", "req_date"], "left")
-        .withColumn("near", near_starts(F.col("profile"), F.col("req_min"), F.col("slot_min")))
-        .select("venue_id", "req_date", "req_min", "capacity", "near",
-                peak_seated(F.col("near"), F.col("req_min"), F.col("slot_min")).alias("max_seated"))
+        .withColumn("near", near_of_slot())
+        .select(*SLOT, "capacity", "near", peak_seated(F.col("near"), F.col("req_min"), F.col("slot_min")).alias("max_seated"))
         .withColumn("seats_left", F.col("capacity") - F.col("max_seated"))
     )
 
 
 def max_seated(requests: DataFrame, reservations: DataFrame, cfg: DataFrame) -> DataFrame:
-    """``requests`` plus the peak of simultaneous guests, seats left and whether the party fits."""
+    """``requests`` plus the peak of simultaneous guests, seats left and whether the party fits.
+
+    Every request comes back once: of an unknown venue, or without date or time, with nulls (and ``known_venue``).
+    """
     peaks = slot_peaks(requests, reservations, cfg).drop("near", "capacity")
-    return (
-        requests.join(peaks, ["venue_id", "req_date", "req_min"])
-        .withColumn("is_available", F.col("seats_left") >= F.col("people"))
-    )
+    return with_slots(requests, peaks).withColumn("is_available", F.col("seats_left") >= F.col("people"))
 
 
 def overlap_load(requests: DataFrame, reservations: DataFrame, cfg: DataFrame) -> DataFrame:
-    """Bookings and guests whose slot overlaps the asked one (whether or not they are seated together)."""
-    near = slot_peaks(requests, reservations, cfg).select("venue_id", "req_date", "req_min", "near")
+    """Bookings and guests whose slot overlaps the asked one (whether or not they are seated together); null where nothing can be said."""
+    near = slot_peaks(requests, reservations, cfg).select(*SLOT, "near")
     zero = F.lit(0).cast("long")
-    return requests.join(near, ["venue_id", "req_date", "req_min"]).select(
+    return with_slots(requests, near).select(
         *requests.columns,
         F.aggregate("near", zero, lambda a, b: a + b["n"]).alias("overlapping_bookings"),
         F.aggregate("near", zero, lambda a, b: a + b["people"]).alias("overlapping_guests"))
 
 
 def evaluation_points(requests: DataFrame, reservations: DataFrame, cfg: DataFrame) -> DataFrame:
-    """Distinct instants at which a request's occupancy is looked at: its own start and the starts inside its slot."""
-    near = slot_peaks(requests, reservations, cfg).select("venue_id", "req_date", "req_min", "near")
+    """Distinct instants at which a request's occupancy is looked at: its own start and the starts inside its slot; null where the
+    venue, the date or the time is not known."""
+    near = slot_peaks(requests, reservations, cfg).select(*SLOT, "near")
     points = F.array_union(F.array("req_min"),
                            F.transform(F.filter("near", lambda b: b["m"] > F.col("req_min")), lambda b: b["m"]))
-    return requests.join(near.withColumn("points", points).drop("near"), ["venue_id", "req_date", "req_min"])
+    return with_slots(requests, near.withColumn("points", points).drop("near"))
 
 
 # ---------------------------------------------------------------------------------------------- opening hours
@@ -227,30 +253,31 @@ def check_availability(guarded: DataFrame, reservations: DataFrame, cfg: DataFra
                        special_dates: DataFrame, as_of: int) -> DataFrame:
     """Status and alternatives for requests that already carry a ``guard`` column (see ``guards.booking_guard``).
 
-    Our composition; first match wins: past_date, too_far_ahead, outside_hours, team_only_event, the guard's own answer,
-    no_availability, available.
+    Our composition; first match wins: unknown_venue, invalid_request (no date, time or party), past_date, too_far_ahead, outside_hours,
+    team_only_event, the guard's own answer, no_availability, available.
     """
     slots = guarded.select("venue_id", "req_date", "req_min").distinct()
     days = slots.select("venue_id", F.col("req_date").alias("day"))
     facts = day_facts(days, reservations, hours, special_dates)
     per_slot = (
-        slots.join(facts.withColumnRenamed("day", "req_date"), ["venue_id", "req_date"])
+        slots.join(facts.withColumnRenamed("day", "req_date"), ["venue_id", "req_date"], "left")
         .join(cfg.select("venue_id", "capacity", "slot_min", "days_ahead", "tz"), "venue_id")
-        .withColumn("near", near_starts(F.col("profile"), F.col("req_min"), F.col("slot_min")))
+        .withColumn("near", near_of_slot())
         .withColumn("seats_left", F.col("capacity") - peak_seated(F.col("near"), F.col("req_min"), F.col("slot_min")))
         .withColumn("calendar_status", calendar_status(F.col("req_date"), F.col("req_min"), as_of))
         .select("venue_id", "req_date", "req_min", "seats_left", "calendar_status")
     )
     status = (
-        F.when(F.col("calendar_status").isNotNull(), F.col("calendar_status"))
+        unanswerable().when(F.col("calendar_status").isNotNull(), F.col("calendar_status"))
         .when(F.col("guard") != "ok", F.col("guard"))
         .when(F.col("seats_left") < F.col("people"), "no_availability")
         .otherwise("available"))
-    judged = guarded.join(per_slot, ["venue_id", "req_date", "req_min"]).withColumn("status", status)
+    judged = with_slots(guarded, per_slot).withColumn("status", status)
     full = judged.where(F.col("status") == "no_availability").select("venue_id", F.col("req_date").alias("day")).distinct()
     grid = free_grid(full, reservations, cfg, hours, special_dates, as_of)
-    return with_alternatives(judged, grid, "req_date", "req_min", "people").withColumn(
-        "alternatives", F.when(F.col("status") == "no_availability", F.col("alternatives")))
+    # only a wish that found no seat is offered others; a null day leaves a row out of the search
+    offered = judged.withColumn("_day", F.when(F.col("status") == "no_availability", F.col("req_date")))
+    return with_alternatives(offered, grid, "_day", "req_min", "people").drop("_day")
 
 
 def calendar_status(day: Column, minute: Column, as_of: int | Column) -> Column:

@@ -18,18 +18,30 @@ TEAM_STATUSES = ["team_only_event", "party_too_large", "limit_reached", "too_far
 _VALUES = ["date", "min", "people", "zone", "requests"]
 
 
+def asked_values() -> dict:
+    """The date, minute and party a command asks for (null: as it is), and whether one of them is given but cannot be read: an
+    impossible date or time, or a party that is no whole number above 0."""
+    day, minute, people = (nullif_blank(F.col(c)) for c in ("new_date", "new_time", "new_people"))
+    w_date, w_minute, w_people = day.try_cast("date"), minutes_of(minute), people.try_cast("int")
+    unreadable = ((day.isNotNull() & w_date.isNull()) | (minute.isNotNull() & w_minute.isNull())
+                  | (people.isNotNull() & (w_people.isNull() | (w_people < 1))))
+    return {"w_date": w_date, "w_minute": w_minute, "w_people": w_people, "unreadable": unreadable}
+
+
 def proposed_change(authorized: DataFrame) -> DataFrame:
-    """The booking as the command wants it (``n_*``): blanks and unknown zones keep the old value, notes are appended."""
+    """The booking as the command wants it (``n_*``): blanks and unknown zones keep the old value, notes are appended. What cannot be
+    read keeps the old value too and sets ``unreadable``."""
     zone = F.lower(F.trim("new_zone"))
     extra = nullif_blank(F.col("new_request"))
     old_note = F.when(F.col("special_requests") != "", F.col("special_requests"))
     return (
-        authorized
-        .withColumn("n_date", F.coalesce(nullif_blank(F.col("new_date")).try_cast("date"), "reservation_date"))
-        .withColumn("n_min", F.coalesce(minutes_of(nullif_blank(F.col("new_time"))), "reservation_min"))
-        .withColumn("n_people", F.coalesce(nullif_blank(F.col("new_people")).try_cast("int"), "people"))
+        authorized.withColumns(asked_values())
+        .withColumn("n_date", F.coalesce("w_date", "reservation_date"))
+        .withColumn("n_min", F.coalesce("w_minute", "reservation_min"))
+        .withColumn("n_people", F.when(F.col("w_people") >= 1, F.col("w_people")).otherwise(F.col("people")))
         .withColumn("n_zone", F.when(zone.isin("indoor", "terrace"), zone).otherwise(F.col("zone")))
         .withColumn("n_requests", F.when(extra.isNull(), F.col("special_requests")).otherwise(F.concat_ws("; ", old_note, extra)))
+        .drop("w_date", "w_minute", "w_people")
     )
 
 
@@ -73,6 +85,7 @@ def quote_modification(commands: DataFrame, reservations: DataFrame, customers:
     calendar = av.calendar_status(F.col("n_date"), F.col("n_min"), as_of)
     status = (
         F.when(~F.col("found"), "not_found")
+        .when(F.col("unreadable"), "invalid_request")
         .when(unchanged(), "no_changes")
         .when(calendar.isNotNull(), calendar)
         .when(F.col("n_people") > F.col("max_party"), "party_too_large")

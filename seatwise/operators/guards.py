@@ -68,9 +68,9 @@ def upcoming_per_identity(reservations: DataFrame, customers: DataFrame) -> Data
 
 
 def booking_guard(requests: DataFrame, reservations: DataFrame, customers: DataFrame, cfg: DataFrame) -> DataFrame:
-    """``requests`` plus ``guard``: party_too_large, limit_reached (phone, then venue hour) or ok.
+    """``requests`` plus ``guard``: unknown_venue, party_too_large, limit_reached (phone, then venue hour) or ok.
 
-    Each request is judged at its own ``request_epoch`` against the given bookings.
+    Each request is judged at its own ``request_epoch`` against the given bookings; every request comes back once.
     """
     limits = cfg.select("venue_id", "max_party", "max_per_phone", "max_per_hour", F.col("tz").alias("guard_tz"))
     known = upcoming_per_identity(reservations, customers)
@@ -79,7 +79,7 @@ def booking_guard(requests: DataFrame, reservations: DataFrame, customers: DataF
     nothing = F.array().cast("array<struct<reservation_date:date,n:bigint>>")
     asked = (
         with_rolling_count(requests, web_bookings, ["venue_id"], HOUR, "bookings_last_hour", "request_epoch", "created_epoch")
-        .join(limits, "venue_id")
+        .join(limits, "venue_id", "left")
         .withColumn("channel_user_id", identity)
         .withColumn("today", local_date(F.col("request_epoch"), F.col("guard_tz")))
     )
@@ -91,7 +91,8 @@ def booking_guard(requests: DataFrame, reservations: DataFrame, customers: DataF
     counted = asked.join(per_phone, ["venue_id", "channel_user_id", "today"], "left").withColumn(
         "bookings_of_phone", F.coalesce("bookings_of_phone", F.lit(0).cast("long")))
     guard = (
-        F.when(F.col("people") > F.col("max_party"), "party_too_large")
+        F.when(F.col("max_party").isNull(), "unknown_venue")
+        .when(F.col("people") > F.col("max_party"), "party_too_large")
         .when(F.col("bookings_of_phone") >= F.col("max_per_phone"), "limit_reached")
         .when(F.col("bookings_last_hour") >= F.col("max_per_hour"), "limit_reached")
         .otherwise("ok"))
@@ -106,15 +107,16 @@ def sent_mail(reservations: DataFrame) -> DataFrame:
 
 
 def email_guard(commands: DataFrame, reservations: DataFrame, cfg: DataFrame, epoch: str = "command_epoch") -> DataFrame:
-    """``commands`` (venue_id, email, epoch) plus counts per address and day, per venue and hour, and ``guard``."""
+    """``commands`` (venue_id, email, epoch) plus counts per address and day, per venue and hour, and ``guard``: unknown_venue,
+    rate_limited or ok. Every command comes back once."""
     sent = sent_mail(reservations)
     asked = commands.withColumn("address", F.lower(F.trim("email")))
     counted = with_rolling_count(asked, sent, ["venue_id", "address"], DAY_SECONDS, "sent_to_address", epoch, "sent_epoch")
     counted = with_rolling_count(counted, sent, ["venue_id"], HOUR, "sent_last_hour", epoch, "sent_epoch")
     limits = cfg.select("venue_id", "max_email_addr_day", "max_email_hour")
     blocked = (F.col("sent_to_address") >= F.col("max_email_addr_day")) | (F.col("sent_last_hour") >= F.col("max_email_hour"))
-    return counted.join(limits, "venue_id").withColumn(
-        "guard", F.when(blocked, "rate_limited").otherwise("ok")).drop("max_email_addr_day", "max_email_hour")
+    return counted.join(limits, "venue_id", "left").withColumn(
+        "guard", F.when(F.col("max_email_hour").isNull(), "unknown_venue").when(blocked, "rate_limited").otherwise("ok")).drop("max_email_addr_day", "max_email_hour")
 
 
 def change_counts(log: DataFrame, as_of: int) -> DataFrame:

@@ -55,10 +55,11 @@ SELECT o_orderkey AS reservation_id, {_venue('o_custkey')} AS venue_id,
  CASE WHEN o_orderkey % 2 = 0 THEN concat('g', CAST(o_custkey % 500 AS VARCHAR(20)), '@example.org') END AS email_to
  FROM {{orders}}""",
     "booking_requests": f"""
-SELECT o_orderkey AS request_id, {_venue('o_custkey')} AS venue_id, o_custkey AS customer_id,
- concat('+999 ', lpad(CAST(o_custkey AS VARCHAR(20)), 9, '0')) AS phone,
- DATE '2026-10-01' + CAST((o_orderkey * 131) % 118 AS INTEGER) AS req_date,
- CAST(1020 + 30 * ((o_orderkey * 17) % 14) AS INTEGER) AS req_min, CAST(1 + (o_orderkey * 7) % 9 AS INTEGER) AS people,
+SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 61 = 1 THEN -1 WHEN o_orderkey % 67 = 1 THEN NULL ELSE {_venue('o_custkey')} END AS venue_id,
+ o_custkey AS customer_id, concat('+999 ', lpad(CAST(o_custkey AS VARCHAR(20)), 9, '0')) AS phone,
+ CASE WHEN o_orderkey % 71 <> 1 THEN DATE '2026-10-01' + CAST((o_orderkey * 131) % 118 AS INTEGER) END AS req_date,
+ CASE WHEN o_orderkey % 73 <> 1 THEN CAST(1020 + 30 * ((o_orderkey * 17) % 14) AS INTEGER) END AS req_min,
+ CASE WHEN o_orderkey % 79 <> 1 THEN CAST(1 + (o_orderkey * 7) % 9 AS INTEGER) END AS people,
  CAST(1792058400 - (o_orderkey * 104729) % 2592000 AS BIGINT) AS request_epoch FROM {{orders}}""",
     "opening_hours": f"""
 SELECT DISTINCT {_venue('c_custkey')} AS venue_id,
@@ -83,9 +84,10 @@ SELECT o_orderkey AS command_id, {_venue('o_custkey')} AS venue_id,
  CASE WHEN o_orderkey % 17 = 0 THEN 'rsv-unknown' ELSE concat(' rsv-', lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0')) END AS code,
  concat('00999 (', lpad(CAST(o_custkey AS VARCHAR(20)), 9, '0'), ')') AS phone,
  CASE WHEN o_custkey % 5 = 0 THEN 'telegram' ELSE 'web' END AS channel, o_custkey AS customer_id,
- CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(DATE '2026-10-10' + CAST((o_orderkey * 37) % 110 AS INTEGER) AS VARCHAR(20)) END AS new_date,
- CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat(CAST(17 + o_orderkey % 6 AS VARCHAR(20)), ':30') END AS new_time,
- CASE WHEN o_orderkey % 5 < 2 THEN '' ELSE CAST(1 + (o_orderkey * 11) % 9 AS VARCHAR(20)) END AS new_people,
+ CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 41 = 1 THEN '2026-02-30' WHEN o_orderkey % 41 = 2 THEN '1969-12-31'
+  ELSE CAST(DATE '2026-10-10' + CAST((o_orderkey * 37) % 110 AS INTEGER) AS VARCHAR(20)) END AS new_date,
+ CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 43 = 1 THEN '25:10' ELSE concat(CAST(17 + o_orderkey % 6 AS VARCHAR(20)), ':30') END AS new_time,
+ CASE WHEN o_orderkey % 5 < 2 THEN '' WHEN o_orderkey % 47 = 1 THEN 'many' WHEN o_orderkey % 47 = 2 THEN '0' ELSE CAST(1 + (o_orderkey * 11) % 9 AS VARCHAR(20)) END AS new_people,
  CASE o_orderkey % 6 WHEN 0 THEN ' Terrace ' WHEN 1 THEN 'roof' ELSE '' END AS new_zone,
  CASE WHEN o_orderkey % 8 = 0 THEN ' Window table ' ELSE '' END AS new_request,
  CAST(1792058400 + (o_orderkey * 7919) % 3600 AS BIGINT) AS command_epoch FROM {{orders}}""",
@@ -97,7 +99,8 @@ SELECT o_orderkey * 2 + copy_no AS command_id,
  FROM (SELECT o_orderkey, o_custkey, 0 AS copy_no FROM {{orders}} UNION ALL
   SELECT o_orderkey, o_custkey, 1 AS copy_no FROM {{orders}} WHERE o_orderpriority = '1-URGENT') o""",
     "email_commands": f"""
-SELECT o_orderkey * 2 + copy_no AS command_id, {_venue('o_custkey')} AS venue_id,
+SELECT o_orderkey * 2 + copy_no AS command_id,
+ CASE WHEN o_orderkey % 61 = 1 THEN -1 WHEN o_orderkey % 67 = 1 THEN NULL ELSE {_venue('o_custkey')} END AS venue_id,
  concat('RSV-', lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0')) AS code,
  concat('+999 ', lpad(CAST(o_custkey AS VARCHAR(20)), 9, '0')) AS phone,
  CASE WHEN o_custkey % 5 = 0 THEN 'telegram' ELSE 'web' END AS channel, o_custkey AS customer_id,
