@@ -13,6 +13,7 @@ from seatwise.streaming.throttle import throttle_stream, throttle_windows
 from tests import tables as t
 
 SF = "/root/testdata/sf0.001"
+LAST = {}
 
 
 def run_stream(spark, rows, name, build, columns=None, files=1):
@@ -27,17 +28,39 @@ def run_stream(spark, rows, name, build, columns=None, files=1):
     try:
         query.awaitTermination(120)
         assert query.exception() is None
+        LAST[name] = query.lastProgress
     finally:
         query.stop()
     return spark.table(name)
 
 
+def state_rows(name):
+    """Rows of state after the stream's last batch."""
+    return LAST[name].stateOperators[0].numRowsTotal
+
+
 def test_open_cases_stream_equals_batch(spark):
-    asks = view(spark, SF, "cases").select("case_id", "session_key", "reason", "guest_contact", F.col("created_epoch").alias("epoch"))
-    batch = {(r.case_id, r.result) for r in cases.open_cases(asks).collect()}
-    streamed = run_stream(spark, asks, "opened", open_cases_stream)
-    assert {(r.case_id, r.result) for r in streamed.collect()} == batch
-    assert {r for _, r in batch} >= {"created", "missing_contact"}
+    """Requests of the whole table in files that overlap by minutes, null sessions among them; a last request moves the watermark on."""
+    asks = view(spark, SF, "cases").select(
+        "case_id", F.when(F.col("case_id") % 13 != 5, F.col("session_key")).alias("session_key"), "reason", "guest_contact", F.col("created_epoch").alias("epoch"))
+    batch = {(r.case_id, r.result, r.existing_id or -1) for r in cases.open_cases(asks).collect()}
+    last = spark.createDataFrame([(10**9, -7, "complaint", "x", 4_000_000_000)], asks.schema)
+    mixed = asks.withColumn("at", F.col("epoch") + F.pmod(F.hash("case_id"), F.lit(240))).unionByName(last.withColumn("at", F.lit(5_000_000_000)))
+    streamed = run_stream(spark, mixed, "opened", lambda s: open_cases_stream(s.drop("at")), "at", files=6)
+    assert {(r.case_id, r.result, r.existing_id) for r in streamed.collect()} == batch
+    assert {r for _, r, _ in batch} >= {"created", "missing_contact"}
+    assert state_rows("opened") <= 4  # the last request and its timer
+
+
+def test_open_cases_stream_out_of_order_and_late(spark):
+    base = 1_000_000_000
+    rows = [(0, 1, "a", base + 100), (1, 2, "a", base), (2, 3, "b", base + 50), (3, 9, "c", base + 1000),  # the second came after the first
+            (4, 4, "a", base + 10), (4, 5, "b", base + 990), (5, 9, "c", base + 9000), (6, 9, "c", base + 90_000)]
+    df = spark.createDataFrame([(i, c, 9 if r == "c" else 1, r, "x", e) for i, c, r, e in rows],
+                               "file long, case_id long, session_key long, reason string, guest_contact string, epoch long")
+    got = [(r.case_id, r.result, r.existing_id) for r in run_stream(
+        spark, df, "order", lambda s: open_cases_stream(s.drop("file")), "file", files=7).collect() if r.session_key == 1]
+    assert sorted(got) == [(1, "existing", 2), (2, "created", -1), (3, "created", -1), (4, "late", -1), (5, "created", -1)]
 
 
 def test_reminder_hours():
