@@ -21,6 +21,9 @@ DIET_ACCEPTS = {
     "gluten_free": ["gluten_free", "gluten_free_on_request"],
 }
 
+# Drink sections whose items are named one by one.
+NAMED_DRINK_SECTIONS = ("Luxury Sparkling", "Wine by the Glass")
+
 # Statuses and vocabularies of the other tables.
 ACTIVE_STATUSES = ["confirmed", "pending"]
 CASE_REASONS = ["complaint", "adverse_event", "severe_allergy", "special_request", "reservation_not_found",

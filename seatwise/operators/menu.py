@@ -152,7 +152,7 @@ def _joined(order: list[str], text: Column, separator: str) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, lambda p: p["text"]), separator))
 
 
-def menu_summary(menu: DataFrame, today: date, named_sections: tuple[str, ...] = ("Luxury Sparkling", "Wine by the Glass"),
+def menu_summary(menu: DataFrame, today: date, named_sections: tuple[str, ...] = lexicon.NAMED_DRINK_SECTIONS,
                  menu_url: str = "https://example.org/menu") -> DataFrame:
     """Per venue: food sections, signature dishes, time-bound groups, what is off today, and drinks, as one text.
 
