@@ -123,6 +123,16 @@ REASON_LABELS = {
     "tool_failure": "Fallo del sistema", "wants_human": "Quiere hablar con una persona",
 }
 
+# Lines of the messages to the staff and the values they name. A line that names an absent value is left out.
+STAFF_ALERT = ["{mark} — Caso #{case_id}", "Motivo: {label}", "Huésped: {guest}", "Contacto: {guest_contact}", "Reserva: {code}",
+               "Canal: {channel}{spoken}", "", "{summary}", "{closed}"]
+STAFF_REMINDER = ["{mark} — Caso #{case_id} sin atender desde hace {minutes_open} min (aviso {escalation_count} de {max_reminders}).",
+                  "Motivo: {label}{of_guest}", "Detalles en el mensaje original."]
+ALERT_MARKS = {"urgent": "🔴 URGENTE", "normal": "🟡 Normal"}
+REMINDER_MARKS = {"urgent": "🔴🔴 RECORDATORIO URGENTE", "normal": "🟡 Recordatorio"}
+NAMELESS_GUEST = "(sin nombre)"
+CLOSED_NOTE = "\nFuera de horario: se prometió contacto a partir de las 8:00."
+
 # Menu page labels.
 ALLERGEN_LABELS = {a: a.replace("_", " ").capitalize() for a in ALLERGENS}
 DIET_LABELS = {"vegan": "Vegan", "vegetarian": "Vegetarian", "gluten_free": "Gluten-free",
