@@ -26,12 +26,23 @@ def booking_starts(reservations: DataFrame) -> DataFrame:
         F.sum("people").alias("people"), F.count("*").alias("n"))
 
 
-def day_profiles(reservations: DataFrame) -> DataFrame:
+def on_days(reservations: DataFrame, days: DataFrame) -> DataFrame:
+    """The bookings of the asked (venue_id, day) and of the day before each.
+
+    Of a table laid out by date (``sources.booking_files``) only the folders of those dates are read: the join prunes them at run time.
+    Spark does so for a side that has a predicate, hence the comparison, which every date meets.
+    """
+    wanted = days.select("venue_id", F.explode(F.array(F.col("day"), F.date_sub("day", 1))).alias("reservation_date")).where(
+        F.col("reservation_date") >= F.lit("0001-01-01").cast("date")).distinct()
+    return reservations.join(wanted, ["venue_id", "reservation_date"], "left_semi")
+
+
+def day_profiles(reservations: DataFrame, days: DataFrame) -> DataFrame:
     """Per venue and asked day: starts of that day and the day before, in minutes relative to the asked day.
 
     Only those two days count, so a start after the following midnight is out by definition.
     """
-    starts = booking_starts(reservations).select(
+    starts = booking_starts(on_days(reservations, days)).select(
         "venue_id", "people", "n",
         F.explode(F.array(
             F.struct(F.col("reservation_date").alias("day"), F.col("reservation_min").alias("m")),
@@ -96,7 +107,7 @@ def near_of_slot() -> Column:
 def slot_peaks(slots: DataFrame, reservations: DataFrame, cfg: DataFrame) -> DataFrame:
     """Peak and seats left for each distinct (venue_id, req_date, req_min) of ``slots`` whose venue is known; null without date or time."""
     asked = slots.select(*SLOT).distinct()
-    profiles = day_profiles(reservations).withColumnRenamed("day", "req_date")
+    profiles = day_profiles(reservations, asked.select("venue_id", F.col("req_date").alias("day"))).withColumnRenamed("day", "req_date")
     return (
         asked.join(cfg.select("venue_id", "capacity", "slot_min"), "venue_id")
         .join(profiles, ["venue_id", "req_date"], "left")
@@ -174,7 +185,7 @@ def day_facts(days: DataFrame, reservations: DataFrame, hours: DataFrame, specia
     return (
         opening_window(asked, hours)
         .join(team_only_days(special_dates), ["venue_id", "day"], "left")
-        .join(day_profiles(reservations), ["venue_id", "day"], "left")
+        .join(day_profiles(reservations, asked), ["venue_id", "day"], "left")
         .withColumn("team_only", F.coalesce("team_only", F.lit(False)))
     )
 
