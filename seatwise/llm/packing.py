@@ -32,19 +32,20 @@ PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 PLAIN = _re.compile(rb"[a-z]+")
 #: ASCII letters, then signs other than the apostrophe and what may join them beyond ASCII: two parts.
 PUNCTUATED = _re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @lru_cache(maxsize=1)
 def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies: itself, or the next code point from 256 on."""
+    """By byte value the printable letter that stands for it in byte-level vocabularies: itself, or the next code point from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = iter(range(256, 512))
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
 class WordIds:
-    """Ids of white-space separated words, each worked out once and kept; the store starts anew beyond ``most`` words. Added tokens are
-    matched in the text as it stands, before anything else; they are kept behind a blank, which no word holds."""
+    """Ids of white-space separated words, each worked out once and kept; beyond ``most`` words the later half goes, as frequent words come
+    early. Added tokens are matched in the text as it stands, before anything else; they are kept behind a blank, which no word holds."""
 
     def __init__(self, path: str, most: int = 800_000):
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,6 +60,13 @@ class WordIds:
         for content, i in self.added.items():
             self.keep(b" " + content, [i])
 
+    def forget(self) -> None:
+        """Keeps the first half of the words; places are numbered in the order in which words were met."""
+        half = self.most // 2
+        self.places = {word: at for word, at in self.places.items() if at < half}
+        self.starts = self.starts[:half + 1]
+        self.flat = self.flat[:self.starts[-1]]
+
     def words(self, text: bytes) -> list[bytes]:
         if not any([content in text for content in self.added]):
             return text.lower().split()
@@ -66,8 +74,8 @@ class WordIds:
         return [word for n, part in enumerate(parts) for word in ([b" " + part] if n % 2 else part.lower().split())]
 
     def merged(self, part: bytes) -> list[int]:
-        letters = byte_letters()
-        return [token.id for token in self.model.tokenize("".join([letters[b] for b in part]))]
+        shown = part.decode("latin-1").translate(byte_letters())
+        return [token.id for token in self.model.tokenize(shown)]
 
     def known(self, word: bytes) -> list[int]:
         at = self.places.get(word)
@@ -79,11 +87,15 @@ class WordIds:
             return [token.id for token in self.model.tokenize(word.decode())]
         split = PUNCTUATED.fullmatch(word)
         if split:
-            return self.known(split[1]) + self.merged(split[2])
+            return self.known(split[1]) + self.known(split[2])
+        stem = word.rstrip(SIGNS)
+        if len(stem) < len(word) and stem.decode().isalpha():  # letters beyond ASCII, then signs: two parts as well
+            return self.known(stem) + self.known(word[len(stem):])
         text = "".join([c.lower() for c in unicodedata.normalize("NFC", word.decode())])
         if text.isalpha():
             return self.merged(text.encode())
-        return [i for part in PARTS.findall(text) for i in self.merged(part.encode())]
+        parts = [part.encode() for part in PARTS.findall(text)]
+        return self.merged(parts[0]) if len(parts) == 1 else [i for part in parts for i in self.known(part)]
 
     def place(self, word: bytes) -> int:
         return self.keep(word, self.encode(word))
@@ -97,13 +109,15 @@ class WordIds:
     def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text starts."""
         if len(self.places) > self.most:
-            self.clear()
+            self.forget()
         places, firsts = [], [0]
         for text in texts:
             words = self.words(text)
             found = list(map(self.places.get, words))
             if None in found:
-                found = [self.place(word) if at is None else at for word, at in zip(words, map(self.places.get, words), strict=True)]
+                for i in [i for i, at in enumerate(found) if at is None]:
+                    at = self.places.get(words[i])
+                    found[i] = self.place(words[i]) if at is None else at
             places += found
             firsts.append(len(places))
         at = np.array(places, np.int64)
@@ -113,13 +127,19 @@ class WordIds:
         return flat[np.repeat(starts[at] - ends[:-1], sizes) + np.arange(ends[-1])], ends[firsts]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The store of a Python worker: the tasks it runs one after another share it."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer)
+        ids_of = word_ids(tokenizer)
         end = np.array([end_id], np.uint32)
         for whole in batches:
             for batch in batches_of(whole, "text", 4 << 20):
