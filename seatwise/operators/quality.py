@@ -87,7 +87,7 @@ def targeted_customers(reservations: DataFrame, ids: DataFrame) -> DataFrame:
 def guarded_delete(tables: Mapping[str, DataFrame], ids: DataFrame, expected_customers: int) -> dict[str, DataFrame]:
     """Delete the listed bookings and their customers, or nothing.
 
-    ``tables`` holds change_log, reservations, consents and customers; ``ids`` the (reservation_id, confirmation_code)
+    ``tables`` holds change_log, reservations, customers and perhaps consents; ``ids`` the (reservation_id, confirmation_code)
     pairs. Raises unless every pair is a booking, exactly ``expected_customers`` customers are touched and none owns another booking.
     """
     pairs = ids.select("reservation_id", "confirmation_code").distinct()
@@ -101,7 +101,7 @@ def guarded_delete(tables: Mapping[str, DataFrame], ids: DataFrame, expected_cus
     out = dict(tables)
     for name in ("change_log", "reservations"):
         out[name] = tables[name].join(ids.select("reservation_id"), "reservation_id", "left_anti")
-    for name in ("consents", "customers"):
+    for name in [n for n in ("consents", "customers") if n in tables]:
         out[name] = tables[name].join(owners.select("customer_id"), "customer_id", "left_anti")
     return out
 

@@ -171,6 +171,16 @@ SELECT l_orderkey AS execution_id, l_linenumber AS call_no, l_shipdate AS starte
  CAST(l_orderkey % 50 AS INTEGER) AS model_no,
  CAST(l_quantity AS BIGINT) * 100 AS prompt_tokens, CAST(l_quantity AS BIGINT) * 7 AS completion_tokens,
  CAST(1 + l_orderkey % 17 AS INTEGER) AS seconds FROM {lineitem}""",
+    "execution_documents": """
+SELECT l_orderkey * 10 + l_linenumber AS document_no, CASE WHEN l_linenumber = 7 THEN concat('{{"id":"', CAST(l_orderkey AS VARCHAR(20)), '","startedAt":')
+  WHEN l_linenumber = 6 THEN '{{"startedAt":"2026-10-15T10:00:00","stoppedAt":"2026-10-15T10:00:01"}}'
+  WHEN l_linenumber = 5 THEN concat('{{"id":', CAST(l_orderkey AS VARCHAR(20)), ',"startedAt":"2026-10-15T10:00:00","stoppedAt":null,"status":"running"}}')
+  ELSE concat('{{"id":"', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '","finished":true,"startedAt":"2026-10-15T10:00:00.000Z","stoppedAt":"2026-10-15T10:00:',
+   lpad(CAST(l_orderkey % 60 AS VARCHAR(20)), 2, '0'), '.000Z","data":{{"resultData":{{"runData":{{"Load":[{{"data":null}}]',
+   CASE WHEN l_linenumber = 4 THEN '' ELSE concat(',"Chat Model":[{{"data":{{"ai_languageModel":[[{{"json":{{',
+    CASE WHEN l_linenumber = 3 THEN concat('"usage":{{"input_tokens":', CAST(l_partkey AS VARCHAR(20)), ',"output_tokens":', CAST(l_suppkey AS VARCHAR(20)), '}}')
+     ELSE concat('"tokenUsage":{{"promptTokens":', CAST(l_partkey AS VARCHAR(20)), ',"completionTokens":', CAST(l_suppkey AS VARCHAR(20)), ',"totalTokens":"many"}}') END,
+    '}}}}]]}}}},{{"data":{{"ai_languageModel":[[{{"json":{{"tokenUsage":{{"promptTokens":7}}}}}}]]}}}}]') END, '}}}}}}}}') END AS document FROM {lineitem}""",
     "scenario_runs": """
 SELECT l_orderkey % 20 AS run_no, CASE WHEN l_linenumber = 7 THEN 90 ELSE l_linenumber END AS scenario_no,
  CASE WHEN l_linenumber = 7 THEN concat('cancel RSV-', CAST(l_partkey AS VARCHAR(20))) ELSE concat('scenario ', CAST(l_linenumber AS VARCHAR(20))) END AS scenario,

@@ -304,3 +304,17 @@ def test_execution_files_and_report(spark):
     report = metrics.report_rows(spark.createDataFrame([(1, "s", True)], "n int, scenario string, ok boolean"))
     report.write.text(f"{folder}/report")
     assert json.loads(spark.read.text(f"{folder}/report").first().value) == {"n": 1, "scenario": "s", "ok": True}
+
+
+def test_execution_documents_drift_and_break(spark):
+    from seatwise.sources.executions import parse_documents
+    call = '{"data":{"ai_languageModel":[[{"json":%s}]]}}'
+    nested = '{"id":%s,"startedAt":"2026-10-15T10:00:00Z","stoppedAt":"2026-10-15T10:00:03.5Z","new":{"a":[1]},"data":{"resultData":{"runData":%s}}}'
+    runs = '{"Chat Model":[%s,%s,%s],"Other":[1]}' % (
+        call % '{"tokenUsage":{"promptTokens":5,"completionTokens":"x"}}', call % '{"usage":{"input_tokens":8,"output_tokens":2}}', '{"data":null}')
+    texts = [nested % ('"a"', runs), nested % (7, "{}"), "{", None, '{"startedAt":"2026-10-15T10:00:00Z"}', '{"id":"b","startedAt":"soon","stoppedAt":"later"}', "[]"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "no int, document string")
+    calls, broken = parse_documents(docs)
+    got = sorted((tuple(r[c] for c in ("execution_id", "seconds", "call_no", "prompt_tokens", "completion_tokens")) for r in calls.collect()), key=str)
+    assert got == [("7", 3.5, None, None, None), ("a", 3.5, 1, 5, None), ("a", 3.5, 2, 8, 2), ("a", 3.5, 3, None, None)]
+    assert {r.no: r.reason for r in broken.collect()} == {2: "not_json", 3: "not_json", 4: "no_id", 5: "no_times", 6: "no_id"}
