@@ -176,6 +176,43 @@ def due_reminders(cases: DataFrame, as_of: int, tz: str = "Asia/Bangkok") -> Dat
     })
 
 
+#: Minutes between reminders and how many there are, by urgency.
+REMINDERS = {"urgent": (5, 3), "normal": (20, 2)}
+
+
+def next_tick(due: Column, tz: Column | str, start: int = 480, end: int = 1380) -> Column:
+    """The first whole minute at or after ``due`` (epoch seconds) that lies in staff hours: calendar arithmetic on the local clock."""
+    tick = (F.ceil(due / 60) * 60).cast("long")
+    local = F.from_utc_timestamp(epoch_ts(tick), tz)
+    minute = F.hour(local) * 60 + F.minute(local)
+    opening = F.date_add(F.to_date(local), F.when(minute < start, 0).otherwise(1)).cast("timestamp") + F.make_dt_interval(mins=F.lit(start))
+    return F.when((minute >= start) & (minute < end), tick).otherwise(F.unix_timestamp(F.to_utc_timestamp(opening, tz)))
+
+
+def reminder_schedule(cases: DataFrame, until: int, tz: str = "Asia/Bangkok") -> DataFrame:
+    """Every reminder that falls due up to ``until``, for all cases at once: case_id, urgency, escalation_count, max_reminders,
+    reminded_epoch and minutes_open.
+
+    The reminders of a case follow from each other: the next is due a wait after the last one (or after the case was opened), at the
+    next minute in staff hours; there are as many as the urgency allows. A case's reminders end when it is
+    claimed; one that is cancelled or resolved has none. ``escalation_count`` and ``last_escalated_epoch`` say what happened before.
+    """
+    def by_urgency(which):
+        return F.when(F.col("urgency") == "urgent", REMINDERS["urgent"][which]).otherwise(REMINDERS["normal"][which])
+
+    most, wait = by_urgency(1), by_urgency(0) * 60
+    first = F.array(F.coalesce("last_escalated_epoch", "created_epoch").cast("long"))
+    times = F.aggregate(F.sequence(F.lit(1), most), first, lambda done, _: F.concat(done, F.array(next_tick(F.element_at(done, -1) + wait, tz))))
+    known = cases.where(F.col("status").isin("open", "claimed") & F.col("urgency").isin(*REMINDERS))
+    planned = known.withColumn("max_reminders", most).select(
+        "case_id", "urgency", "max_reminders", "created_epoch", "claimed_epoch", "escalation_count", F.posexplode(times).alias("further", "reminded_epoch"))
+    return planned.where("further > 0").withColumn("escalation_count", (F.col("escalation_count") + F.col("further")).cast("int")).where(
+        (F.col("escalation_count") <= F.col("max_reminders")) & (F.col("reminded_epoch") <= until)
+        & (F.col("claimed_epoch").isNull() | (F.col("reminded_epoch") < F.col("claimed_epoch")))).select(
+        "case_id", "urgency", "escalation_count", "max_reminders", "reminded_epoch",
+        F.floor((F.col("reminded_epoch") - F.col("created_epoch")) / 60).cast("int").alias("minutes_open"))
+
+
 def reminded_snapshot(cases: DataFrame, due: DataFrame) -> DataFrame:
     hit = due.select("case_id", F.col("escalation_count").alias("_n"), F.col("last_escalated_epoch").alias("_at"))
     return cases.join(hit, "case_id", "left").withColumns({

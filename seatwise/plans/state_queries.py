@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seatwise.operators import cases, changes, quality
-from seatwise.plans.case_queries import CLICKS, CONFIRM_VIEWS, CONFIRMED, DUE, confirmations
+from seatwise.plans.case_queries import CLICKS, CONFIRM_VIEWS, CONFIRMED, DUE, PATIENCE, confirmations
 from seatwise.plans.registry import Registry
 from seatwise.plans.views import AS_OF, CASES_AS_OF, with_views
 from seatwise.sources.executions import parse_documents
@@ -61,6 +61,24 @@ def reminded_snapshot(t):
     return cases.reminded_snapshot(t.cases, cases.due_reminders(t.cases, CASES_AS_OF)).select("case_id", "escalation_count", "last_escalated_epoch")
 
 
+#: The minutes of staff hours around the cases; the next reminder is the first of them at or after the wait, found by an as-of join.
+TICKS = """, ticks AS (SELECT m FROM (SELECT unnest(range(lo - lo % 60, hi + 3 * 86400, 60)) AS m FROM (SELECT min(created_epoch) AS lo, max(created_epoch) AS hi FROM cases))
+  WHERE (m + 25200) % 86400 >= 28800 AND (m + 25200) % 86400 < 82800),
+ asked AS (SELECT case_id, urgency, created_epoch, claimed_epoch, escalation_count AS done, ifnull(last_escalated_epoch, created_epoch) AS since, 60 * minutes AS wait, max_reminders
+  FROM cases JOIN {patience} USING (urgency) WHERE status IN ('open', 'claimed'))"""
+
+
+def step(name: str, of: str) -> str:
+    return f", {name} AS (SELECT a.* REPLACE (m AS since, done + 1 AS done) FROM {of} a ASOF JOIN ticks k ON a.since + a.wait <= k.m)"
+
+
+@add("reminder_schedule", with_views("cases", TICKS.format(patience=PATIENCE) + step("r1", "asked") + step("r2", "r1") + step("r3", "r2") + f"""
+ SELECT case_id, urgency, done::INTEGER AS escalation_count, max_reminders, since AS reminded_epoch, ((since - created_epoch) // 60)::INTEGER AS minutes_open
+ FROM (FROM r1 UNION ALL FROM r2 UNION ALL FROM r3) WHERE done <= max_reminders AND since <= {CASES_AS_OF + 86400} AND since < ifnull(claimed_epoch, since + 1)"""))
+def reminder_schedule(t):
+    return cases.reminder_schedule(t.cases, CASES_AS_OF + 86400)
+
+
 @add("guarded_delete_survivors", with_views("reservations guests change_log", """,
  doomed AS (SELECT reservation_id, customer_id FROM reservations WHERE customer_id % 10 = 3)
  SELECT 'change_log' AS table_name, count(*) AS rows_left, CAST(sum(reservation_id) AS BIGINT) AS id_sum FROM change_log WHERE reservation_id NOT IN (SELECT reservation_id FROM doomed)

@@ -202,3 +202,30 @@ def test_open_cases_in_order(spark, seed):
         want[i] = result
     assert got == want
     assert set(want.values()) == {"created", "existing", "missing_contact", "limit_reached"}
+
+
+def test_reminder_schedule_equals_a_model_of_every_minute(spark):
+    """A month of minutes: at each, every open case that waited long enough is reminded, in staff hours only."""
+    rng, base = random.Random(4), 1_792_022_400  # midnight in UTC
+    rows = []
+    for i in range(120):
+        created = base + rng.randint(0, 6 * 86_400)
+        claimed = rng.choice([None, created + rng.randint(60, 90_000)])
+        rows.append((i, rng.choice(["urgent", "normal", "other"]), rng.choice(["open", "cancelled"]) if claimed is None else "claimed", created, claimed,
+                     rng.choice([0, 0, 1, 3]), None))
+    rows = [r[:6] + ((r[3] + 60 * rng.randint(1, 900)) if r[5] else None,) for r in rows]
+    df = spark.createDataFrame(rows, "case_id long, urgency string, status string, created_epoch long, claimed_epoch long, escalation_count int, last_escalated_epoch long")
+    until = base + 30 * 86_400
+    got = sorted((r.case_id, r.escalation_count, r.reminded_epoch) for r in cases.reminder_schedule(df, until).collect())
+    want = []
+    for i, urgency, status, created, claimed, count, last in rows:
+        if urgency == "other" or status == "cancelled":
+            continue
+        wait, most = cases.REMINDERS[urgency]
+        since, now = last or created, (last or created) // 60 * 60
+        while now <= until and count < most and (claimed is None or now < claimed):
+            if 480 <= (now + 25_200) // 60 % 1440 < 1380 and now - since >= wait * 60:
+                count, since = count + 1, now
+                want.append((i, count, now))
+            now += 60
+    assert got == sorted(want) and len(want) > 60
