@@ -38,7 +38,7 @@ def venue_facts(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replace a whole table in one step; readers see the old files or the new ones. Never the path being read."""
+    """Replaces a table's files in place. Who reads meanwhile may find none: where that matters, publish versions (``sources.versions``)."""
     df.write.mode("overwrite").parquet(path)
 
 
