@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as markup
 import json
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -41,18 +42,79 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "option": ({"option"}, {"select"})}
 #: Words in a class, id or role that say a block is not the article's text.
 NOT_TEXT = frozenset("ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
-                     "breadcrumbs sidebar side rail footer header masthead cookie cookies consent gdpr notice notices notification alert popup modal "
+                     "breadcrumbs sidebar rail footer header masthead cookie cookies consent gdpr notice notices notification alert popup modal "
                      "overlay comment comments reply replies disqus discussion share sharing social related recommended recommendations trending newsletter "
                      "subscribe subscription signup login form search widget toolbar pagination pager tags skip contentinfo complementary "
                      "hidden meta byline".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-                   r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: Words that may stand beside them in a name without changing what it says; any other word does ("share-price", "has-sidebar").
+BESIDE = frozenset("area article articles author bar block bottom box button buttons col column container content count desktop entry field fields fixed floating "
+                   "global group icon icons inner item items link links list main mobile module outer page post posts primary row secondary section "
+                   "single site sticky story text title toggle top wrap wrapper".split())
+
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: What ends a tag, or begins a quoted value inside of it.
+STOP = re.compile(r">|=\s*[\"']")
+#: Elements whose content is no markup, each with its end.
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template textarea iframe svg title select".split()}
+#: Elements nested deeper stand beside each other, as in browsers.
+DEEPEST = 512
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
+def tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag ends whose attributes start at ``at``, or -1. A '>' inside a quoted value ends nothing. ``dead`` holds the quotes from
+    which no end was found before, so that broken markup is not gone through again and again."""
+    seen = []
+    while stop := STOP.search(page, at):
+        if stop[0] == ">":
+            return stop.end()
+        if stop.start() in dead:
+            break
+        seen.append(stop.start())
+        closing = page.find(stop[0][-1], stop.end())
+        at = closing + 1 if closing >= 0 else stop.end()
+    dead.update(seen)
+    return -1
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """Start, end, whether it closes, name and attributes of every tag in page order. Comments, declarations and elements without
+    markup have no name. A tag with an unclosed quoted value ends at the next '>'; without any '>' the rest is text."""
+    at, dead = 0, set()
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, False, None, ""
+            continue
+        if page[start + 1:start + 2] in ("!", "?"):
+            end = page.find(">", start)
+            if end < 0:
+                return
+            at = end + 1
+            yield start, at, False, None, ""
+            continue
+        closes = page.startswith("</", start)
+        name = NAME.match(page, start + 1 + closes)
+        if not name:
+            at = start + 1
+            continue
+        end = tag_end(page, name.end(), dead)
+        if end < 0:
+            end = page.find(">", name.end()) + 1
+            if not end:
+                return
+        at, tag = end, name[0].lower()
+        if not closes and tag in RAW:
+            close = RAW[tag].search(page, end)
+            at = close.end() if close else len(page)
+            yield start, at, False, None, ""
+        else:
+            yield start, at, closes, tag, page[name.end():end - 1]
+
+
 def kind_of(tag: str, attributes: str) -> str:
-    """A block's token: its tag, and the words that its class, id and role have in common with NOT_TEXT."""
+    """A block's token: its tag, and what the names in its class, id and role have in common with NOT_TEXT. A name counts as a whole."""
     words = set()
     if attributes:
         for name, value in ATTRIBUTE.findall(attributes):
@@ -60,7 +122,10 @@ def kind_of(tag: str, attributes: str) -> str:
             if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value.lower() == "true"):
                 words.add("hidden")
             else:
-                words |= NOT_TEXT & set(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().replace("-", " ").replace("_", " ").split())
+                for one in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().replace("_", "-").split():
+                    parts = {part for part in one.split("-") if part and not part.isdigit()}
+                    if parts <= NOT_TEXT | BESIDE:
+                        words |= parts & NOT_TEXT
     return ".".join([tag, *sorted(words)])
 
 
@@ -83,22 +148,23 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
                 del path[i:]
                 return
 
-    at = 0
-    for token in TOKEN.finditer(page):
-        if token.start() > at:
-            parts.append(page[at:token.start()])
-        at = token.end()
-        tag = token[3]
+    at = beyond = 0
+    for start, end, closes, tag, attributes in tokens(page):
+        if start > at:
+            parts.append(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in INLINE:
-            if tag in ("br", "img", "wbr"):
-                parts.append(" " if tag == "br" else "")
+            if tag == "br":
+                parts.append(" ")
             continue
         if found := text():
             yield tuple(path), found
-        if token[2]:
+        if closes:
+            if beyond:
+                beyond -= 1
+                continue
             for i in range(len(path) - 1, -1, -1):
                 if path[i].partition(".")[0] == tag:
                     del path[i:]
@@ -108,8 +174,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
                 close_to({"p"}, {"article", "section", "div", "body", "td", "li", "blockquote"})
             if tag in ENDS:
                 close_to(*ENDS[tag])
-            if not token[4].rstrip().endswith("/"):
-                path.append(kind_of(tag, token[4]))
+            if not attributes.rstrip().endswith("/"):
+                if len(path) < DEEPEST:
+                    path.append(kind_of(tag, attributes))
+                else:
+                    beyond += 1
     parts.append(page[at:])
     if found := text():
         yield tuple(path), found
@@ -160,6 +229,15 @@ def align(a: list[list], b: list[list]) -> list[list]:
     """Aligns two item lists by their longest common sequence of kinds; what only one side has becomes optional."""
     if [x[KIND] for x in a] == [x[KIND] for x in b]:
         return [join(x, y) for x, y in zip(a, b, strict=True)]
+    head = 0
+    while head < min(len(a), len(b)) and a[head][KIND] == b[head][KIND]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail][KIND] == b[-1 - tail][KIND]:
+        tail += 1
+    first = [join(x, y) for x, y in zip(a[:head], b[:head], strict=True)]
+    last = [join(x, y) for x, y in zip(a[len(a) - tail:], b[len(b) - tail:], strict=True)]
+    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
     length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -175,7 +253,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
         else:
             out.append([*b[j][:OPTIONAL], True, *b[j][REPEATED:]])
             j += 1
-    return fold(out)
+    return fold(first + out + last)
 
 
 def wrapper_of(found: list[tuple[tuple[str, ...], str]]) -> list[list]:
@@ -206,12 +284,20 @@ def settle(items: list[list]) -> list[list]:
     return fold(items)
 
 
-def slots(items: list[list], path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], list]]:
-    for item in items:
+def slots(items: list[list]) -> Iterator[tuple[tuple[str, ...], list]]:
+    """Every text slot of a wrapper with its path, in page order."""
+    left = [((), item) for item in reversed(items)]
+    while left:
+        path, item = left.pop()
         if item[KIND] == "#":
             yield path, item
         else:
-            yield from slots(item[INSIDE], (*path, item[KIND]))
+            left += [((*path, item[KIND]), inner) for inner in reversed(item[INSIDE])]
+
+
+def article_at(path: tuple[str, ...]) -> int:
+    """Where the outermost article or main element of a path is, or -1."""
+    return next((i for i, kind in enumerate(path) if kind.partition(".")[0] in ("article", "main")), -1)
 
 
 def is_text(path: tuple[str, ...]) -> bool:
@@ -233,8 +319,11 @@ def is_text(path: tuple[str, ...]) -> bool:
 
 def main_paths(wrapper: list[list]) -> list[str]:
     """The paths of the slots that hold the main text."""
-    kept = [(path, item) for path, item in slots(wrapper) if is_text(path)]
-    inside = [(path, item) for path, item in kept if any(kind.partition(".")[0] in ("article", "main") for kind in path)]
+    every = list(slots(wrapper))
+    kept = [(path, item) for path, item in every if is_text(path)]
+    inside = [(path, item) for path, item in kept if article_at(path) >= 0]
+    if not sum(item[CHARS] for _, item in inside):  # what is around an article says nothing if that leaves none
+        inside = [(path, item) for path, item in every if article_at(path) >= 0 and is_text(path[article_at(path):])]
     if not sum(item[CHARS] for _, item in inside):
         inside = [(path, item) for path, item in kept if item[CONSTANT] is None or len(item[PAGES]) < CONSTANT_FROM or item[REPEATED]]
     return sorted({"/".join(path) for path, _ in inside})
@@ -251,10 +340,16 @@ def host(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def deep_enough() -> None:
+    """Aligning goes down as deep as blocks are nested, a few calls each."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
+
+
 def wrappers(pages: DataFrame, url: str = "url", page: str = "html", steps: int = 32) -> DataFrame:
     """host and its wrapper (as JSON), induced from all of its pages."""
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep_enough()
         own: dict[str, list] = {}
 
         def flush() -> pa.RecordBatch:
@@ -273,6 +368,7 @@ def wrappers(pages: DataFrame, url: str = "url", page: str = "html", steps: int
         yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep_enough()
         held: tuple[str, list] | None = None
         for batch in batches:
             out = []
@@ -305,6 +401,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     """
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep_enough()
         for batch in batches:
             paths = [main_paths(json.loads(w)) for w in batch.column("wrapper").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.list_(pa.string()))], ["host", "paths"])
@@ -314,6 +411,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     decided = wrappers(pages, url, page).mapInArrow(decide, "host string, paths array<string>")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep_enough()
         for whole in batches:
             for batch in batches_of(whole, "html"):
                 texts = [main_text(list(blocks(value or "")), set(paths or ())) for value, paths in

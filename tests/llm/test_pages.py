@@ -120,3 +120,34 @@ def test_vectors_that_take_no_part_and_ties(spark):
     few = multi_index.search(df.where("vec_id in (0, 100)")).collect()
     assert [(r.query_id, r.vec_id, r.score) for r in sorted(few)] == [(0, 100, 0.0), (100, 0, 0.0)]
     assert multi_index.search(df.limit(0)).count() == 0
+
+
+def texts_of(spark, pages):
+    rows = [(i, f"http://h{i}.org/", page) for i, page in enumerate(pages)]
+    return [r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_names_around_and_in_articles_count_as_a_whole(spark):
+    body = "<article><h1>Title</h1><div class='{}'><p>First part</p></div><p>Second</p></article>"
+    kept = ["search-and-rescue", "share-price", "side", "no-menu", "shared adventure"]
+    dropped = ["share-buttons", "relatedPosts", "ad", "newsletter_signup box", "post-meta"]
+    around = ["has-sidebar", "no-sidebar wide", "sidebar", "site with-nav"]
+    pages = [body.format(name) for name in kept + dropped] + [f"<div class='{name}'>{body.format('x')}</div>" for name in around]
+    whole, part = "Title\n\nFirst part\n\nSecond", "Title\n\nSecond"
+    assert texts_of(spark, pages) == [whole] * len(kept) + [part] * len(dropped) + [whole] * len(around)
+
+
+def test_deep_and_broken_pages(spark):
+    deep = "<article>" + "".join(f"<div>w{i}" for i in range(5000)) + "</div>" * 5000 + "<p>end</p></article>"
+    stray = "<article><p>It's <a title=\"x>y\">said</a> <b don't>so</b></p><p class=\"open>Lost</p><p>Kept</p></article>"
+    got = texts_of(spark, [deep, stray, "<article><p>One</p><a b"])
+    assert got[0] == "\n\n".join([f"w{i}" for i in range(5000)] + ["end"])
+    assert got[1] == "It's said so\n\nLost\n\nKept" and got[2] == "One\n\n<a b"
+
+
+def test_broken_markup_is_read_in_one_go():
+    import time
+    for piece in ("<a b", "<a b=\"", "<a b=\"x> <b>\" ", "<a 'x\"y ", "</p <!", "<p class='a", "<!-- ", "< < <", "<svg>", "a=\"'"):
+        start = time.process_time()
+        list(wrappers.blocks(piece * (1_000_000 // len(piece))))
+        assert time.process_time() - start < 4, piece
