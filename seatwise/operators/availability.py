@@ -239,16 +239,16 @@ def _alternatives(day: Column, minute: Column, people: Column, nearest: int) ->
 
 
 def with_alternatives(df: DataFrame, grid: DataFrame, day: str, minute: str, people: str, out: str = "alternatives",
-                      nearest: int = 3) -> DataFrame:
-    """``df`` plus up to three nearest free times of the asked day and the same time on the two days after.
+                      nearest: int = 3, where: Column | None = None) -> DataFrame:
+    """``df`` plus up to three nearest free times of the asked day and the same time on the two days after; null where ``where`` does
+    not hold, and worked out only where it does.
 
-    The answer depends on (venue, day, time, party) alone and is worked out once for each.
+    A row meets its (venue, day) in the grid, which has one small row for each, so ``df`` is gone through once.
     """
-    keys = ["venue_id", day, minute, people]
-    wishes = df.select(*keys).where(F.col(day).isNotNull()).distinct()
-    answered = wishes.join(grid.withColumnRenamed("day", day), ["venue_id", day], "left").select(
-        *keys, _alternatives(F.col(day), F.col(minute), F.col(people), nearest).alias(out))
-    return df.join(answered, keys, "left")
+    free = grid.withColumnsRenamed({"venue_id": "_venue", "day": "_day"})
+    met = df.join(free, (F.col("venue_id") == F.col("_venue")) & (F.col(day) == F.col("_day")), "left")
+    found = F.when(F.col(day).isNotNull(), _alternatives(F.col(day), F.col(minute), F.col(people), nearest))
+    return met.withColumn(out, found if where is None else F.when(where, found)).drop("_venue", "_day", *[f"slots_{k}" for k in range(3)])
 
 
 def alternatives(requests: DataFrame, reservations: DataFrame, cfg: DataFrame, hours: DataFrame, special_dates: DataFrame,
@@ -284,11 +284,8 @@ def check_availability(guarded: DataFrame, reservations: DataFrame, cfg: DataFra
         .when(F.col("seats_left") < F.col("people"), "no_availability")
         .otherwise("available"))
     judged = with_slots(guarded, per_slot).withColumn("status", status)
-    full = judged.where(F.col("status") == "no_availability").select("venue_id", F.col("req_date").alias("day")).distinct()
-    grid = free_grid(full, reservations, cfg, hours, special_dates, as_of)
-    # only a wish that found no seat is offered others; a null day leaves a row out of the search
-    offered = judged.withColumn("_day", F.when(F.col("status") == "no_availability", F.col("req_date")))
-    return with_alternatives(offered, grid, "_day", "req_min", "people").drop("_day")
+    grid = free_grid(days.where(F.col("day").isNotNull()).distinct(), reservations, cfg, hours, special_dates, as_of)
+    return with_alternatives(judged, grid, "req_date", "req_min", "people", where=F.col("status") == "no_availability")
 
 
 def calendar_status(day: Column, minute: Column, as_of: int | Column) -> Column:

@@ -101,12 +101,12 @@ def modification_result(quoted: DataFrame, reservations: DataFrame, cfg: DataFra
     done = F.col("status") == "modified"
     shown = {"reservation_date": "n_date", "reservation_min": "n_min", "people": "n_people", "zone": "n_zone",
              "special_requests": "n_requests"}
-    full = quoted.where(F.col("status") == "no_availability").select("venue_id", F.col("n_date").alias("day")).distinct()
-    grid = av.free_grid(full, reservations, cfg, hours, special_dates, as_of)
+    days = quoted.select("venue_id", F.col("n_date").alias("day")).where(F.col("day").isNotNull()).distinct()
+    grid = av.free_grid(days, reservations, cfg, hours, special_dates, as_of)
     special = special_by_date(special_dates, cfg).withColumnRenamed("day", "n_date")
     current = {old: F.when(done, F.col(new)).otherwise(F.col(old)) for old, new in shown.items()}
     answered = (
-        av.with_alternatives(quoted, grid, "n_date", "n_min", "n_people")
+        av.with_alternatives(quoted, grid, "n_date", "n_min", "n_people", where=F.col("status") == "no_availability")
         .join(special, ["venue_id", "n_date"], "left")
     )
     found = F.col("found")
@@ -130,7 +130,7 @@ def modification_result(quoted: DataFrame, reservations: DataFrame, cfg: DataFra
         F.when(found, F.col("guest_lang")).alias("guest_lang"),
         F.when(found, F.col("email_to")).alias("email_to"),
         (F.col("changes_total") + 1).alias("change_seq"),
-        F.when(F.col("status") == "no_availability", F.col("alternatives")).alias("alternatives"),
+        "alternatives",
         F.when(found, F.coalesce("special", F.array().cast(special.schema["special"].dataType))).otherwise(none).alias("special"),
         F.when(F.col("status").isin(*TEAM_STATUSES), F.col("team_contact")).alias("team_contact"),
     )
