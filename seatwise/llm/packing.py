@@ -77,6 +77,9 @@ class WordIds:
         shown = part.decode("latin-1").translate(byte_letters())
         return [token.id for token in self.model.tokenize(shown)]
 
+    def normal(self, word: bytes) -> str:
+        return "".join([c.lower() for c in unicodedata.normalize("NFC", word.decode())])
+
     def known(self, word: bytes) -> list[int]:
         at = self.places.get(word)
         at = self.place(word) if at is None else at
@@ -89,13 +92,16 @@ class WordIds:
         if split:
             return self.known(split[1]) + self.known(split[2])
         stem = word.rstrip(SIGNS)
-        if len(stem) < len(word) and stem.decode().isalpha():  # letters beyond ASCII, then signs: two parts as well
+        if len(stem) < len(word) and self.normal(stem).isalpha():  # letters beyond ASCII, then signs: two parts as well
             return self.known(stem) + self.known(word[len(stem):])
-        text = "".join([c.lower() for c in unicodedata.normalize("NFC", word.decode())])
+        text = self.normal(word)
         if text.isalpha():
             return self.merged(text.encode())
         parts = [part.encode() for part in PARTS.findall(text)]
-        return self.merged(parts[0]) if len(parts) == 1 else [i for part in parts for i in self.known(part)]
+        if len(parts) == 1:
+            return self.merged(parts[0])
+        # a part in ASCII is itself when it is read again; others, already in lower case, might be put in another order
+        return [i for part in parts for i in (self.known(part) if part.isascii() else self.merged(part))]
 
     def place(self, word: bytes) -> int:
         return self.keep(word, self.encode(word))

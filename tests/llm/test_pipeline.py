@@ -12,7 +12,7 @@ from tests.llm.conftest import SF
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = entry_module.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_stages_keep_columns_and_take_effect(spark):
