@@ -1,6 +1,7 @@
 """The page, archive and vector operators against plain versions."""
 
 import hashlib
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -47,7 +48,7 @@ def test_wrappers_have_optional_and_repeated_groups():
 
 def test_no_pages(spark):
     assert wrappers.extract(table(spark, SF, "pages").limit(0)).count() == 0
-    path = f"{shared_folder(spark)}/no-pages"
+    path = f"{shared_folder(spark)}/no-pages-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, SF, "pages").limit(0), path)
     assert warc.resolve(warc.read_headers(spark, path)).count() == 0
 
@@ -57,7 +58,7 @@ def test_archives_are_an_exact_round_trip(spark):
     rows = [(1, "u", big), (2, "u\r\nX: y", big), (3, None, big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", odd), (8, "u", odd),
             (None, "u", big), (9, "u", odd[:-1])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    path = f"{shared_folder(spark)}/archives"
+    path = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
     warc.write_archives(pages, path)
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolve(warc.read_headers(spark, path)).collect()}
     groups = defaultdict(list)
