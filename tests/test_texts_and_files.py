@@ -114,6 +114,21 @@ def test_menu_page(items):
     assert '<span class="price">60<small> / glass</small></span>' in html and "Off" not in html
 
 
+def test_items_that_share_an_id_keep_their_place(items):
+    """Ids of the registered view have six digits and repeat beyond a million rows; neither text nor section may then decide the order."""
+    brut = items.where("id = 'B001'").withColumns({"notes": F.lit(""), "description": F.lit("")})
+    rows = [("Water", "Zest", 1), ("Water", "Ale", 2), ("Beer", "Lager", 3)]
+    shared = None
+    for section, name, place in rows:
+        one = brut.withColumns({"section": F.lit(section), "name": F.lit(name), "place": F.lit(place).cast("long")})
+        shared = one if shared is None else shared.unionByName(one)
+    assert menu.menu_document(shared, TODAY).first().document.split("\n")[-3:-1] == ["- Water: Zest 4,300/bottle; Ale 4,300/bottle", "- Beer: Lager 4,300/bottle"]
+    assert menu.menu_summary(shared, TODAY).first().menu_text.endswith("Drinks — Water: 2 items | Beer: 1 items.")
+    page = menu.menu_page(shared, TODAY).first()
+    assert page.nav == '<a href="#drinks---water">Water</a><a href="#drinks---beer">Beer</a>'
+    assert page.html.index("Zest") < page.html.index("Ale") < page.html.index("Lager")
+
+
 DISH = "request_id long, venue_id long, kind string, exclude_allergens string, diet string, service string, on_date string, exclude_contains string, dish string, words string"
 
 
