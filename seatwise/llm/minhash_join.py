@@ -7,10 +7,12 @@
    coordinates collide. As in prefix filtering, pairs found nowhere else count for nothing; the others are ranked by how many
    representatives hold them, and only the rarest (held - matches + 1) are posted: two signatures with ``matches`` collisions meet in one.
 3. Merging skips what is decided. First each list meets its least member (a star, never all pairs); their agreeing min-hashes are counted
-   (by one byte of each) and pairs with ``agree`` or more confirmed on the full sets. While that joins something, each list that still holds several components
-   offers another member of its largest one to those outside, which try the most alike of each component. What then still holds
-   several components is joined, members outside a list's largest component against members of other components, so every link that
-   could still join two components is tried. Links inside a component change no answer and are skipped.
+   (by one byte of each) and pairs with ``agree`` or more confirmed on the full sets. In lists that still hold several components, members
+   that share too few shingles with other components to be linked with any of them drop out (``linkable``). While that joins something, each
+   list then offers another member of its largest component to those outside, which try the most alike of each component. What still holds
+   several components is joined, members outside a list's largest component against members of other components, where counts of common
+   shingles by hash bucket allow a link (``crossings``); the rest is confirmed, so every link that could still join two components is tried.
+   Links inside a component change no answer and are skipped.
 
 A pair of similarity 0.75 agrees in 0.75 ** 3 of 42 coordinates, 17.7 on average; fewer than 3 happen with a chance of about 5e-8. It agrees
 in 94 of 126 min-hashes on average; fewer than 68 happen with a chance of about 1e-7.
@@ -30,6 +32,7 @@ from seatwise.llm.components import components
 from seatwise.llm.words import lowered, mix, text_bytes, word_bounds, word_hashes
 
 SHINGLE = 5
+BUCKETS = 128
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -135,17 +138,45 @@ def agreeing(pairs: DataFrame, lows: DataFrame, agree: int) -> DataFrame:
     return both.withColumn("equal", equal).where(F.col("equal") >= agree).drop("x", "y")
 
 
-def undecided(postings: DataFrame, lists: DataFrame, near: DataFrame) -> DataFrame:
-    """token, node, label and most (the label of the list's largest component) in lists of three and more (of a pair all is known) that
-    still hold several components."""
-    marked = (postings.join(lists.where("size > 2").select("token"), "token", "left_semi").join(near, "node", "left")
-              .select("token", "node", F.coalesce("label", "node").alias("label")))
+def undecided(postings: DataFrame, near: DataFrame, least: int) -> DataFrame:
+    """token, node, label and most (the label of the list's largest component) in lists of ``least`` and more that still hold several components."""
+    marked = postings.join(near, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     shares = marked.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = (shares.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
-               .where("labels > 1").select("token", "most"))
+    largest = (shares.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"))
+               .where(f"labels > 1 and size >= {least}").select("token", "most"))
     return marked.join(largest, "token")
 
 
+def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each bucket stands in ``common``, as an array."""
+    for batch in batches:
+        counts = [np.bincount(row, minlength=BUCKETS).astype(np.int32) for row in batch.column("common").to_numpy(zero_copy_only=False)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.list_(pa.int32()))], ["node", "n", "r", "counts"])
+
+
+def linkable(mixed: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """node, n (shingles), r (those that a node of another component holds too) and their counts by hash bucket, of the nodes that a link could
+    still join to another component.
+
+    A link takes common shingles of at least ``percent`` of either set, and only those that another component holds can be common. Nodes with
+    fewer are left out, whose shingles then no longer count for the others, until no more than a tenth goes. Nothing is compared in pairs.
+    """
+    nodes = mixed.select("node", "label").distinct()
+    sets = written(full_sets(docs, doc_id, text, nodes).join(nodes, "node"), "mixed-sets")
+    sizes = sets.groupBy("node").agg(F.min(F.size("shingles")).alias("n"))
+    before = None
+    while True:
+        terms = sets.select("node", "label", F.explode("shingles").alias("shingle"))
+        foreign = terms.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
+        common = terms.join(foreign, "shingle", "left_semi").groupBy("node").agg(F.collect_list(F.pmod("shingle", F.lit(BUCKETS)).cast("int")).alias("common"))
+        shared = common.select("node", F.size("common").alias("r"), "common").join(sizes, "node").where(F.lit(100) * F.col("r") >= F.lit(percent) * F.col("n"))
+        able = written(shared.select("node", "n", "r", "common").mapInArrow(profile, "node long, n int, r int, counts array<int>"), "linkable")
+        count = able.count()
+        if not count or (before is not None and 10 * count > 9 * before):
+            return able
+        sets, before = sets.join(able.select("node"), "node", "left_semi"), count
+
+
 def offered(mixed: DataFrame, turn: int) -> DataFrame:
     """a, b, m and of: a member of each list's largest component, drawn by a hash of the list and turn, with every member outside of it."""
     centres = mixed.where("label = most").groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token", F.lit(turn))).alias("c"))
@@ -153,6 +184,18 @@ def offered(mixed: DataFrame, turn: int) -> DataFrame:
             .select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"), F.col("node").alias("m"), F.col("most").alias("of")).distinct())
 
 
+def crossings(mixed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of two components that meet in a list, members outside its largest component with all others, and could hold as many
+    common shingles as a link takes: no more than the lesser count of each bucket. The join itself drops the rest."""
+    minor = mixed.where("label != most").select("token", F.col("node").alias("m"), F.col("label").alias("of"), F.col("n").alias("m_n"),
+                                                F.col("r").alias("m_r"), F.col("counts").alias("m_counts"))
+    needed = F.lit(percent) * (F.col("n") + F.col("m_n"))
+    most = F.aggregate(F.zip_with("counts", "m_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda total, c: total + c)
+    possible = (F.lit(100 + percent) * F.least("r", "m_r") >= needed) & (F.lit(100 + percent) * most >= needed)
+    return (minor.join(mixed, "token").where(F.expr("label != of and (label = most or m < node)") & possible)
+            .select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coordinates: int = 42, minima: int = 3,
                     matches: int = 3, agree: int = 68, percent: int = 75, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and a hash of the text for every row of ``docs``.
@@ -183,7 +226,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = written(confirmed(written(agreeing(stars, lows, agree).select("a", "b"), "stars"), docs, doc_id, text, percent), "confirmed")
     near = components(found, "a", "b")
 
-    mixed = written(undecided(postings, lists, near), "mixed")
+    mixed = written(undecided(postings, near, 3), "mixed")  # of a list of two all is known
+    able = linkable(mixed, docs, doc_id, text, percent)
+    postings = written(mixed.join(able, "node").select("token", "node"), "open")
+    mixed = written(undecided(postings, near, 2), "mixed")
     for turn in range(rounds):
         best = (agreeing(offered(mixed, turn), lows, agree).groupBy("m", "of")
                 .agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct())
@@ -192,13 +238,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             break
         found = found.unionByName(more)
         near = components(found, "a", "b")
-        mixed = written(undecided(postings, lists, near), "mixed")
+        mixed = written(undecided(postings, near, 2), "mixed")
 
-    minor = mixed.where("label != most").select("token", F.col("node").alias("m"), F.col("label").alias("of"))
-    others = mixed.select("token", "node", "label", "most")
-    crossing = (minor.join(others, "token").where("label != of and (label = most or m < node)")
-                .select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b")).distinct())
-    crossing = written(agreeing(crossing, lows, agree).join(stars, ["a", "b"], "left_anti").select("a", "b"), "crossing")
+    crossing = written(crossings(mixed.join(able, "node"), percent).join(stars, ["a", "b"], "left_anti"), "crossing")
     if not crossing.isEmpty():
         rest = written(confirmed(crossing, docs, doc_id, text, percent), "confirmed")
         if not rest.isEmpty():

@@ -71,6 +71,30 @@ def test_links_between_texts_that_miss_the_first_of_their_list(spark):
     assert {r.doc_id: r.component_id for r in minhash_join.near_duplicates(docs).collect()} == want
 
 
+def test_a_family_just_below_the_threshold_is_not_compared_in_pairs(spark, monkeypatch):
+    """80 edits of one text, most of them linked by none: nearly all 3,160 pairs used to be taken to the full sets."""
+    draw = random.Random(7)
+    texts = []
+    for i in range(80):
+        words = [f"a{k}" for k in range(300)]
+        for k in draw.sample(range(300), 6):
+            words[k] = f"x{i}" if k % 2 else "y"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = groups({i: shingles(t) for i, t in enumerate(texts)})
+    compared, write = [], minhash_join.written
+
+    def counted(df, name, *by):
+        out = write(df, name, *by)
+        if name == "crossing":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_join, "written", counted)
+    assert {r.doc_id: r.component_id for r in minhash_join.near_duplicates(docs).collect()} == want
+    assert len(set(want.values())) > 20 and sum(compared) < 300
+
+
 def test_components_of_chains_and_stars(spark):
     draw = random.Random(3)
     links = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(draw.randrange(200, 260), draw.randrange(200, 260)) for _ in range(40)]
