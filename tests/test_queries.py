@@ -65,3 +65,8 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_rank_limits_are_applied_before_the_shuffle(spark):
     plan = QUERIES["trailing_messages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"WindowGroupLimit .*Partial", plan)
+
+
+def test_dishes_are_counted_per_parameter_set_before_they_meet_the_requests(spark):
+    plan = QUERIES["find_dishes_search"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"sum\(n#", plan) and re.search(r"partial_count\(1\)", plan)  # requests add up counts, they do not count items
