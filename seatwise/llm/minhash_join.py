@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.llm.common import batches_of, written
@@ -33,6 +33,8 @@ from seatwise.llm.words import lowered, mix, text_bytes, word_bounds, word_hashe
 
 SHINGLE = 5
 BUCKETS = 128
+#: Places in the bit set that says which texts a step needs: at most 262,144 whole numbers, whatever the table's size.
+MARKS = 1 << 24
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -101,8 +103,18 @@ def signed(docs: DataFrame, doc_id: str, text: str, coordinates: int, minima: in
     return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, signature array<long>, low array<tinyint>")
 
 
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose node stands in ``wanted``, and a few whose hash meets that of one that does: a bit set of fixed size is sent to the
+    rows, so no row is shuffled. For steps that join with the nodes themselves afterwards."""
+    def at(cut: str) -> Column:
+        return F.expr(f"{cut.format(f'pmod(xxhash64(node), {MARKS}L)')}")
+    bits = wanted.select(at("shiftright({}, 6)").alias("_word"), at("shiftleft(1L, cast({} & 63 as int))").alias("_bit"))
+    bits = F.broadcast(bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    return rows.join(bits, (at("shiftright({}, 6)") == F.col("_word")) & (F.getbit("_bits", at("cast({} & 63 as int)")) == 1), "left_semi")
+
+
 def full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """node and its whole shingle set, for the documents named in ``wanted`` (column node)."""
+    """node and its whole shingle set, for the documents named in ``wanted`` (column node) and a few others (see ``marked``)."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -115,12 +127,12 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Dat
                     ["node", "shingles"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    return rows.join(wanted, "node", "left_semi").mapInArrow(shingle, "node long, shingles array<long>")
+    return marked(rows.where("node is not null"), wanted).mapInArrow(shingle, "node long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     sets = written(full_sets(docs, doc_id, text, wanted), "shingles")
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
@@ -223,7 +235,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     lists = postings.groupBy("token").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     stars = postings.join(lists.select("token", "a"), "token").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    found = written(confirmed(written(agreeing(stars, lows, agree).select("a", "b"), "stars"), docs, doc_id, text, percent), "confirmed")
+    tried = written(agreeing(stars, lows, agree).select("a", "b"), "stars")
+    found = written(confirmed(tried, docs, doc_id, text, percent), "confirmed")
     near = components(found, "a", "b")
 
     mixed = written(undecided(postings, near, 3), "mixed")  # of a list of two all is known
@@ -231,20 +244,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     postings = written(mixed.join(able, "node").select("token", "node"), "open")
     mixed = written(undecided(postings, near, 2), "mixed")
     for turn in range(rounds):
-        best = (agreeing(offered(mixed, turn), lows, agree).groupBy("m", "of")
-                .agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct())
-        more = written(confirmed(written(best, "offered"), docs, doc_id, text, percent), "confirmed")
-        if more.isEmpty():
+        best = written(agreeing(offered(mixed, turn), lows, agree).groupBy("m", "of")
+                       .agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct(), "offered")
+        more = written(confirmed(best, docs, doc_id, text, percent), "confirmed")
+        tried, found = tried.unionByName(best), found.unionByName(more)
+        if 10 * more.count() < best.count():  # what is left are mostly families without links, which no other offer joins
             break
-        found = found.unionByName(more)
         near = components(found, "a", "b")
         mixed = written(undecided(postings, near, 2), "mixed")
 
-    crossing = written(crossings(mixed.join(able, "node"), percent).join(stars, ["a", "b"], "left_anti"), "crossing")
-    if not crossing.isEmpty():
-        rest = written(confirmed(crossing, docs, doc_id, text, percent), "confirmed")
-        if not rest.isEmpty():
-            near = components(found.unionByName(rest), "a", "b")
+    crossing = written(crossings(mixed.join(able, "node"), percent).join(tried, ["a", "b"], "left_anti"), "crossing")
+    rest = written(confirmed(crossing, docs, doc_id, text, percent), "confirmed")
+    near = components(found.unionByName(rest), "a", "b")
 
     labels = reps.select(*key, "node").join(near, "node", "left").select(*key, F.coalesce("label", "node").alias("label"))
     labelled = rows.drop("signature", "low").join(labels, key, "left")

@@ -95,6 +95,17 @@ def test_a_family_just_below_the_threshold_is_not_compared_in_pairs(spark, monke
     assert len(set(want.values())) > 20 and sum(compared) < 300
 
 
+def test_texts_stay_in_place_where_few_are_wanted(spark, documents):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the wanted ids were many
+    try:
+        sets = minhash_join.full_sets(documents, "doc_id", "text", spark.createDataFrame([(1,), (7,), (7,), (99,)], "node long"))
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+        found = {r.node: len(r.shingles) for r in sets.where("node in (1, 7)").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and found == {1: 12, 7: 1}
+
+
 def test_components_of_chains_and_stars(spark):
     draw = random.Random(3)
     links = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(draw.randrange(200, 260), draw.randrange(200, 260)) for _ in range(40)]
