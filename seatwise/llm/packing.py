@@ -47,7 +47,7 @@ class WordIds:
     """Ids of white-space separated words, each worked out once and kept; beyond ``most`` words the later half goes, as frequent words come
     early. Added tokens are matched in the text as it stands, before anything else; they are kept behind a blank, which no word holds."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 150_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.most = self.tokenizer.model, most
         self.added = {token.content.encode(): i for i, token in self.tokenizer.get_added_tokens_decoder().items()}
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer: str, capacity: in
         ids_of = word_ids(tokenizer)
         end = np.array([end_id], np.uint32)
         for whole in batches:
-            for batch in batches_of(whole, "text", 4 << 20):
+            for batch in batches_of(whole, "text"):
                 of, start, length, crc, tokens = [], [], [], [], []
                 flat, bounds = ids_of.batch([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()])
                 for row in range(len(batch)):

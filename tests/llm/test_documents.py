@@ -170,6 +170,13 @@ def test_tokens_of_odd_words_equal_the_tokenizer():
         assert words.batch([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_worker_keeps_few_words_whatever_it_reads():
+    store = packing.WordIds(TOKENIZER)
+    for first in range(0, 400_000, 40_000):
+        store.batch([" ".join([f"w{i}" for i in range(first, first + 40_000)]).encode()])
+        assert len(store.places) <= 200_000
+
+
 def test_added_tokens_inside_a_text_equal_the_tokenizer(spark):
     tokenizer, words, draw = Tokenizer.from_file(TOKENIZER), packing.WordIds(TOKENIZER), random.Random(6)
     parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>", "<|endoftext", "|>", " ", "\n", "a", "It's", "É", "\u0338", "\u0301", "don't.", "٢", "<"]
