@@ -4,38 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from seatwise.session import spread
+
 
 def rolling(points: DataFrame, events: DataFrame, keys: list[str], horizon: int, out: str, point_epoch: str, event_epoch: str,
-            per_second: Column, merge) -> DataFrame:
+            per_second: Column, merge, rest=None) -> DataFrame:
     """For each distinct (keys, epoch) of ``points``: events of the same keys in the last ``horizon`` seconds, aggregated.
 
     An event counts when ``point - horizon < event <= point``. Time is cut into buckets one horizon long, so the span of a
     point is the end of one bucket and the beginning of the next. Events are first aggregated per key and second (map-side);
-    a running aggregate forwards and one backwards through each (key, bucket) then give every point its two parts. A window
+    a running aggregate forwards through each (key, bucket) gives a point its one part; the other is ``rest(whole bucket, part up
+    to there)`` where the aggregate can be taken back, else a second running aggregate backwards. A window
     sorts at most three rows per second of one bucket, never a whole key, and takes constant time per row, where a sliding
-    frame would go through its span again for every row.
+    frame would go through its span again for every row. The rows are narrow and compress well, but sorting them takes many times
+    their shuffled bytes, so they go to all shuffle partitions.
     """
     at = [F.col(k) for k in keys]
     bucket = F.floor(F.col("epoch") / horizon).alias("bucket")
     counted = events.withColumn("epoch", F.col(event_epoch)).where(F.col("epoch").isNotNull()).groupBy(*keys, "epoch").agg(
-        per_second.cast("long").alias("n")).select(*at, "epoch", bucket, "n", F.lit(0).alias("probe"), F.lit(None).cast("long").alias("asked"))
+        per_second.cast("long").alias("n")).select(*at, "epoch", bucket, "n", F.lit(0).alias("probe"))
     asked = points.select(*at, F.col(point_epoch).cast("long").alias("asked")).where(F.col("asked").isNotNull()).distinct()
-    probes = asked.select(*at, "asked", F.explode(F.array(
+    probes = asked.select(*at, F.explode(F.array(
         F.struct(F.col("asked").alias("epoch"), F.lit(1).alias("probe")),
         F.struct((F.col("asked") - horizon).alias("epoch"), F.lit(2).alias("probe")))).alias("p")).select(
-        *at, F.col("p.epoch").alias("epoch"), "p.probe", "asked").select(
-        *at, "epoch", bucket, F.lit(None).cast("long").alias("n"), "probe", "asked")
-    is_probe = (F.col("probe") > 0).cast("int")
+        *at, F.col("p.epoch").alias("epoch"), "p.probe").select(
+        *at, "epoch", bucket, F.lit(None).cast("long").alias("n"), "probe")
     part = Window.partitionBy(*keys, "bucket")
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    forwards = part.orderBy(F.col("epoch"), is_probe).rowsBetween(*so_far)
-    backwards = part.orderBy(F.col("epoch").desc(), is_probe.desc()).rowsBetween(*so_far)
+    forwards = part.orderBy("epoch", "probe")  # a probe comes after the events of its second
+    upto = merge("n").over(forwards.rowsBetween(*so_far))
+    if rest is None:
+        after = merge("n").over(part.orderBy(F.col("epoch").desc(), F.col("probe").desc()).rowsBetween(*so_far))
+    else:
+        whole = merge("n").over(forwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        after = rest(whole, F.coalesce(upto, F.lit(0)))
     return (
-        counted.unionByName(probes)
-        .withColumn("upto", merge("n").over(forwards))
-        .withColumn("after", merge("n").over(backwards))
+        spread(counted.unionByName(probes), *keys, "bucket")
+        .withColumns({"upto": upto, "after": after})
         .where("probe > 0")
-        .groupBy(*keys, F.col("asked").alias(point_epoch))
+        .groupBy(*keys, F.when(F.col("probe") == 1, F.col("epoch")).otherwise(F.col("epoch") + horizon).alias(point_epoch))
         .agg(merge(F.when(F.col("probe") == 1, F.col("upto")).otherwise(F.col("after"))).alias(out))
     )
 
@@ -43,7 +50,8 @@ def rolling(points: DataFrame, events: DataFrame, keys: list[str], horizon: int,
 def rolling_counts(points: DataFrame, events: DataFrame, keys: list[str], horizon: int, out: str,
                    point_epoch: str = "epoch", event_epoch: str = "epoch") -> DataFrame:
     """Number of events in the last ``horizon`` seconds, see :func:`rolling`."""
-    return rolling(points, events, keys, horizon, out, point_epoch, event_epoch, F.count("*"), F.sum)
+    return rolling(points, events, keys, horizon, out, point_epoch, event_epoch, F.count("*"), F.sum,
+                   lambda whole, upto: whole - upto)
 
 
 def with_rolling_latest(df: DataFrame, events: DataFrame, keys: list[str], horizon: int, id_col: str, out: str,

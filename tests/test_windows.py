@@ -40,3 +40,14 @@ def test_trailing_rows(spark):
     rows = [(1, i) for i in range(30)] + [(2, 100)]
     got = w.trailing_rows(spark.createDataFrame(rows, "s long, id long"), ["s"], [F.col("id").desc()], 20).collect()
     assert sorted((r.s, r.id) for r in got) == [(1, i) for i in range(10, 30)] + [(2, 100)]
+
+
+def test_counts_sort_a_bucket_once_over_all_partitions(spark):
+    events = spark.createDataFrame([(1, e) for e in (0, 5, 9, 10, 19, 20)], "k long, epoch long")
+    counts = w.rolling_counts(events, events, ["k"], 10, "n")
+    assert {r.epoch: r.n for r in counts.collect()} == {0: 1, 5: 2, 9: 3, 10: 3, 19: 2, 20: 2}
+    plan = counts._jdf.queryExecution().sparkPlan().toString()
+    sorts = {line.split("Window [")[1].split("], [")[-1] for line in plan.splitlines() if "Window [" in line}
+    assert len(sorts) == 1
+    full = counts._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in full
