@@ -180,29 +180,36 @@ def team_only_days(special_dates: DataFrame) -> DataFrame:
 
 
 def day_facts(days: DataFrame, reservations: DataFrame, hours: DataFrame, special_dates: DataFrame) -> DataFrame:
-    """Everything a request needs to know about its (venue_id, day): opening window, team-only flag, occupancy profile."""
-    asked = days.select("venue_id", "day").where(F.col("day").isNotNull()).distinct()
+    """Everything a request needs to know about its (venue_id, day): opening window, team-only flag, occupancy profile; all null of a day
+    that is null."""
+    asked = days.select("venue_id", "day").distinct()
+    # said here, what joins further on would add to one reading of the bookings and not to the other: so they are one
+    known = F.col("venue_id").isNotNull() & F.col("day").isNotNull()
+    profiles = day_profiles(reservations, asked.where(known)).where(known)
     return (
         opening_window(asked, hours)
         .join(team_only_days(special_dates), ["venue_id", "day"], "left")
-        .join(day_profiles(reservations, asked), ["venue_id", "day"], "left")
+        .join(profiles, ["venue_id", "day"], "left")
         .withColumn("team_only", F.coalesce("team_only", F.lit(False)))
     )
 
 
 # ------------------------------------------------------------------------------------------------ alternatives
 
-def free_grid(days: DataFrame, reservations: DataFrame, cfg: DataFrame, hours: DataFrame, special_dates: DataFrame,
-              as_of: int) -> DataFrame:
-    """Per (venue_id, day): the bookable half-hours with their seats left, and those of the two days after.
+def facts_ahead(days: DataFrame, reservations: DataFrame, cfg: DataFrame, hours: DataFrame, special_dates: DataFrame) -> DataFrame:
+    """:func:`day_facts` of the given (venue_id, day) and of the two days after each, with the configuration, for venues that have one."""
+    wanted = days.select("venue_id", "day").distinct().select("venue_id", F.explode(F.array(
+        F.col("day"), F.date_add("day", 1), F.date_add("day", 2))).alias("day"))
+    return day_facts(wanted, reservations, hours, special_dates).join(
+        cfg.select("venue_id", "capacity", "slot_min", "days_ahead", "tz"), "venue_id")
+
+
+def free_grid(facts: DataFrame, as_of: int) -> DataFrame:
+    """Per (venue_id, day) of :func:`facts_ahead`: the bookable half-hours with their seats left, and those of the two days after.
 
     Half-hours run from opening to 30 minutes before closing, are not in the past, lie inside the booking window, and are
     never on a team-only day. At most 48 entries per day.
     """
-    wanted = days.select("venue_id", F.explode(F.array(
-        F.col("day"), F.date_add("day", 1), F.date_add("day", 2))).alias("day"))
-    facts = day_facts(wanted, reservations, hours, special_dates).join(
-        cfg.select("venue_id", "capacity", "slot_min", "days_ahead", "tz"), "venue_id")
     now = local_absolute_second(as_of, F.col("tz"))
     open_day = (~F.col("team_only") & F.col("open_min").isNotNull() & (F.col("close_min") - 30 >= F.col("open_min"))
                 & (F.col("day") <= F.date_add(local_date(as_of, F.col("tz")), F.col("days_ahead"))))
@@ -239,14 +246,15 @@ def _alternatives(day: Column, minute: Column, people: Column, nearest: int) ->
 
 
 def with_alternatives(df: DataFrame, grid: DataFrame, day: str, minute: str, people: str, out: str = "alternatives",
-                      nearest: int = 3, where: Column | None = None) -> DataFrame:
+                      nearest: int = 3, where: Column | None = None, same=Column.__eq__) -> DataFrame:
     """``df`` plus up to three nearest free times of the asked day and the same time on the two days after; null where ``where`` does
     not hold, and worked out only where it does.
 
-    A row meets its (venue, day) in the grid, which has one small row for each, so ``df`` is gone through once.
+    A row meets its (venue, day) in the grid, which has one small row for each, so ``df`` is gone through once. Where ``df`` was just
+    joined on venue and day by the same comparison, it lies as it is needed and is not shuffled again.
     """
     free = grid.withColumnsRenamed({"venue_id": "_venue", "day": "_day"})
-    met = df.join(free, (F.col("venue_id") == F.col("_venue")) & (F.col(day) == F.col("_day")), "left")
+    met = df.join(free, same(F.col("venue_id"), F.col("_venue")) & same(F.col(day), F.col("_day")), "left")
     found = F.when(F.col(day).isNotNull(), _alternatives(F.col(day), F.col(minute), F.col(people), nearest))
     return met.withColumn(out, found if where is None else F.when(where, found)).drop("_venue", "_day", *[f"slots_{k}" for k in range(3)])
 
@@ -254,7 +262,7 @@ def with_alternatives(df: DataFrame, grid: DataFrame, day: str, minute: str, peo
 def alternatives(requests: DataFrame, reservations: DataFrame, cfg: DataFrame, hours: DataFrame, special_dates: DataFrame,
                  as_of: int, nearest: int = 3) -> DataFrame:
     days = requests.select("venue_id", F.col("req_date").alias("day")).distinct()
-    grid = free_grid(days, reservations, cfg, hours, special_dates, as_of)
+    grid = free_grid(facts_ahead(days, reservations, cfg, hours, special_dates), as_of)
     return with_alternatives(requests, grid, "req_date", "req_min", "people", nearest=nearest)
 
 
@@ -267,25 +275,25 @@ def check_availability(guarded: DataFrame, reservations: DataFrame, cfg: DataFra
     Our composition; first match wins: unknown_venue, invalid_request (no date, time or party), past_date, too_far_ahead, outside_hours,
     team_only_event, the guard's own answer, no_availability, available.
     """
-    slots = guarded.select("venue_id", "req_date", "req_min").distinct()
-    days = slots.select("venue_id", F.col("req_date").alias("day"))
-    facts = day_facts(days, reservations, hours, special_dates)
-    per_slot = (
-        slots.join(facts.withColumnRenamed("day", "req_date"), ["venue_id", "req_date"], "left")
-        .join(cfg.select("venue_id", "capacity", "slot_min", "days_ahead", "tz"), "venue_id")
+    days = guarded.select("venue_id", F.col("req_date").alias("day")).distinct()
+    facts = facts_ahead(days, reservations, cfg, hours, special_dates)
+    # requests meet the facts and the grid of their day in one shuffle; keys that are null meet nulls, so a known venue is known without a date
+    per_day = facts.withColumnsRenamed({"venue_id": "_venue", "day": "_day"}).withColumn("known_venue", F.lit(True))
+    met = (
+        guarded.join(per_day, F.col("venue_id").eqNullSafe(F.col("_venue")) & F.col("req_date").eqNullSafe(F.col("_day")), "left")
+        .withColumn("known_venue", F.coalesce("known_venue", F.lit(False)))
         .withColumn("near", near_of_slot())
         .withColumn("seats_left", F.col("capacity") - peak_seated(F.col("near"), F.col("req_min"), F.col("slot_min")))
         .withColumn("calendar_status", calendar_status(F.col("req_date"), F.col("req_min"), as_of))
-        .select("venue_id", "req_date", "req_min", "seats_left", "calendar_status")
+        .select(*guarded.columns, "seats_left", "calendar_status", "known_venue")
     )
     status = (
         unanswerable().when(F.col("calendar_status").isNotNull(), F.col("calendar_status"))
         .when(F.col("guard") != "ok", F.col("guard"))
         .when(F.col("seats_left") < F.col("people"), "no_availability")
         .otherwise("available"))
-    judged = with_slots(guarded, per_slot).withColumn("status", status)
-    grid = free_grid(days.where(F.col("day").isNotNull()).distinct(), reservations, cfg, hours, special_dates, as_of)
-    return with_alternatives(judged, grid, "req_date", "req_min", "people", where=F.col("status") == "no_availability")
+    return with_alternatives(met.withColumn("status", status), free_grid(facts, as_of), "req_date", "req_min", "people",
+                             where=F.col("status") == "no_availability", same=Column.eqNullSafe)
 
 
 def calendar_status(day: Column, minute: Column, as_of: int | Column) -> Column:

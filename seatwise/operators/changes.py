@@ -102,7 +102,7 @@ def modification_result(quoted: DataFrame, reservations: DataFrame, cfg: DataFra
     shown = {"reservation_date": "n_date", "reservation_min": "n_min", "people": "n_people", "zone": "n_zone",
              "special_requests": "n_requests"}
     days = quoted.select("venue_id", F.col("n_date").alias("day")).where(F.col("day").isNotNull()).distinct()
-    grid = av.free_grid(days, reservations, cfg, hours, special_dates, as_of)
+    grid = av.free_grid(av.facts_ahead(days, reservations, cfg, hours, special_dates), as_of)
     special = special_by_date(special_dates, cfg).withColumnRenamed("day", "n_date")
     current = {old: F.when(done, F.col(new)).otherwise(F.col(old)) for old, new in shown.items()}
     answered = (
