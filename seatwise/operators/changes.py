@@ -54,6 +54,13 @@ def unchanged():
     return out
 
 
+def asked_days(proposed: DataFrame) -> DataFrame:
+    """The (venue_id, day) that changes ask for. Who owns the booking does not matter here, so Spark leaves that join out, and the same
+    text for the quote and for its alternatives lets it read the bookings once."""
+    return proposed.where(F.col("venue_id").isNotNull() & F.col("n_date").isNotNull()).select(
+        "venue_id", F.col("n_date").alias("day")).distinct()
+
+
 def quote_modification(commands: DataFrame, reservations: DataFrame, customers: DataFrame, cfg: DataFrame, hours: DataFrame,
                        special_dates: DataFrame, log: DataFrame, as_of: int) -> DataFrame:
     """One row per command with ``status``: what the change would do to the given snapshot, first match wins."""
@@ -66,21 +73,16 @@ def quote_modification(commands: DataFrame, reservations: DataFrame, customers:
     near_own = F.col("found") & (F.abs(own - F.col("n_min")) < F.col("slot_min"))
     asked = proposed.join(limits, "venue_id", "left").withColumn("own_start", F.when(near_own, own).otherwise(av.NOWHERE)).withColumn(
         "own_people", F.when(near_own, F.col("people")).otherwise(0))
-    slot = ["venue_id", "n_date", "n_min", "own_start", "own_people"]
-    slots = asked.where("found").select(*slot, "capacity", "slot_min").distinct()
-    facts = av.day_facts(slots.select("venue_id", F.col("n_date").alias("day")), reservations, hours, special_dates).withColumnRenamed("day", "n_date")
-    per_slot = (
-        slots.join(facts, ["venue_id", "n_date"])
-        .withColumn("near", av.near_starts(F.col("profile"), F.col("n_min"), F.col("slot_min")))
-        .withColumn("seats_left", F.col("capacity") - av.peak_seated(
-            F.col("near"), F.col("n_min"), F.col("slot_min"), F.col("own_start"), F.col("own_people")))
-        .drop("profile", "near", "capacity", "slot_min")
-    )
+    facts = av.day_facts(asked_days(asked), reservations, hours, special_dates).withColumnRenamed("day", "n_date")
     joined = (
-        asked.join(per_slot, slot, "left")
-        .join(change_counts(log, as_of), "reservation_id", "left")
+        asked.join(change_counts(log, as_of), "reservation_id", "left")
         .withColumn("changes_total", F.coalesce("changes_total", F.lit(0)))
         .withColumn("changes_last_day", F.coalesce("changes_last_day", F.lit(0)))
+        .join(facts, ["venue_id", "n_date"], "left")  # last, so that what is joined on venue and day next finds the rows in place
+        .withColumn("near", F.when(F.col("found"), av.near_starts(F.col("profile"), F.col("n_min"), F.col("slot_min"))))
+        .withColumn("seats_left", F.col("capacity") - av.peak_seated(
+            F.col("near"), F.col("n_min"), F.col("slot_min"), F.col("own_start"), F.col("own_people")))
+        .drop("profile", "near", "capacity", "slot_min")
     )
     calendar = av.calendar_status(F.col("n_date"), F.col("n_min"), as_of)
     status = (
@@ -101,8 +103,7 @@ def modification_result(quoted: DataFrame, reservations: DataFrame, cfg: DataFra
     done = F.col("status") == "modified"
     shown = {"reservation_date": "n_date", "reservation_min": "n_min", "people": "n_people", "zone": "n_zone",
              "special_requests": "n_requests"}
-    days = quoted.select("venue_id", F.col("n_date").alias("day")).where(F.col("day").isNotNull()).distinct()
-    grid = av.free_grid(av.facts_ahead(days, reservations, cfg, hours, special_dates), as_of)
+    grid = av.free_grid(av.facts_ahead(asked_days(quoted), reservations, cfg, hours, special_dates), as_of)
     special = special_by_date(special_dates, cfg).withColumnRenamed("day", "n_date")
     current = {old: F.when(done, F.col(new)).otherwise(F.col(old)) for old, new in shown.items()}
     answered = (

@@ -72,7 +72,7 @@ def test_dishes_are_counted_per_parameter_set_before_they_meet_the_requests(spar
     assert re.search(r"sum\(n#", plan) and re.search(r"partial_count\(1\)", plan)  # requests add up counts, they do not count items
 
 
-@pytest.mark.parametrize("name,most", [("check_availability", 11)])
+@pytest.mark.parametrize("name,most", [("check_availability", 11), ("modification_result", 12)])
 def test_answers_meet_their_day_without_going_back_to_the_orders(spark, name, most):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [o_orderkey") <= most
