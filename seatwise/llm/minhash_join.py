@@ -264,8 +264,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; of rows with one doc_id and one text, one."""
-    kept = near_duplicates(docs, doc_id, text, **how).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = docs.withColumn("_hash", F.xxhash64(F.col(text).cast("string"))).withColumn("_id", F.col(doc_id).cast("long"))
-    met = rows.join(kept.distinct(), rows["_id"].eqNullSafe(kept["_id"]) & (rows["_hash"] == kept["_hash"]), "left_semi")
-    return met.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    """The rows of ``docs`` that are kept, with all their columns; of rows with one doc_id and one text, one.
+
+    Join and deduplication have the same keys, none of them null, so whole texts are shuffled once for both.
+    """
+    def keyed(df: DataFrame, id: str, hashed: Column) -> DataFrame:
+        number = F.col(id).cast("long")
+        return df.withColumns({"_id": F.coalesce(number, F.lit(0)), "_none": number.isNull(), "_hash": hashed})
+
+    keys = ["_id", "_none", "_hash"]
+    kept = keyed(near_duplicates(docs, doc_id, text, **how).where("kept"), "doc_id", F.col("text_hash")).select(*keys).distinct()
+    rows = keyed(docs, doc_id, F.xxhash64(F.col(text).cast("string")))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

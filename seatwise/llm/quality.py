@@ -27,6 +27,8 @@ from seatwise.llm.words import mix, text_bytes, word_bounds, word_hashes
 
 BUCKETS, DIM, NONZERO = 1 << 14, 32, 4
 STRETCH = 40
+#: Bytes of text that a worker takes at once: its arrays take about 110 bytes for each of them.
+BATCH = 1 << 18
 
 #: Bits of a word's shape by byte: upper case, lower case, digit, beyond ASCII, and one for each residue of other signs.
 KIND = np.array([1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 4 if 48 <= b <= 57 else 8 if b > 127 else 16 << (b % 24)
@@ -94,7 +96,7 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS * DIM)
         for whole in batches:
-            for batch in batches_of(whole, "text"):
+            for batch in batches_of(whole, "text", BATCH):
                 add_contexts(table, words_of(batch.column("text")))
         table = table.reshape(BUCKETS, DIM).astype(np.float32)
         used = np.flatnonzero(table.any(axis=1))
@@ -221,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, "text"):
+            for batch in batches_of(whole, "text", BATCH):
                 x = pooled(words_of(batch.column("text")), vectors)
                 yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
 
@@ -245,7 +247,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, "text"):
+            for batch in batches_of(whole, "text", BATCH):
                 found = pa.array(model.scores(batch.column("text")), pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "score"])
 
@@ -262,7 +264,7 @@ def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, text):
+            for batch in batches_of(whole, text, BATCH):
                 yield batch.filter(pa.array(model.scores(batch.column(text)) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)
